@@ -8,22 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("station_id", "timestamp")
 
 
-def dedup_first(df: DataFrame, key: Sequence[str] = KEY, order: str = "seq") -> DataFrame:
-    return _keep_one(df, key, F.col(order).asc())
+def dedup_first(df: DataFrame, key: Sequence[str] = KEY, order: Sequence[str] = ("seq",)) -> DataFrame:
+    return _keep_one(df, key, [F.col(c).asc() for c in order])
 
 
-def dedup_last(df: DataFrame, key: Sequence[str] = KEY, order: str = "seq") -> DataFrame:
-    return _keep_one(df, key, F.col(order).desc())
+def dedup_last(df: DataFrame, key: Sequence[str] = KEY, order: Sequence[str] = ("seq",)) -> DataFrame:
+    return _keep_one(df, key, [F.col(c).desc() for c in order])
 
 
-def _keep_one(df: DataFrame, key: Sequence[str], order) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+def _keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
