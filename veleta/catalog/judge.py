@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veleta.catalog import common as C
 from veleta.fixed_values import EXPECTED_TARGETS, QC_BOUNDS, QC_MAX_RATES, SENSORS
+from veleta.functions.texts import staged
 from veleta.operators import diagnosis as DG
 from veleta.operators import fusion as FU
 from veleta.operators import labels as L
@@ -103,7 +104,7 @@ QCED = (f"{C.FEATURES}, qced AS (SELECT *, round(least({_penalty_sql(ALL_CHECKS)
 
 
 def _qced(s, d):
-    return Q.qc_score(C.grid_features(s, d))
+    return staged(Q.qc_score(C.grid_features(s, d)), "checks")
 
 
 _add("qc_score",
@@ -115,10 +116,10 @@ _add("qc_score",
 # --- evidence that fusion needs ----------------------------------------------------------
 Z = [f"{c}_robust_z" for c in SENSORS]
 ZMAX = "greatest(" + ", ".join(f"coalesce(abs({z}), 0)" for z in Z) + ")"
-SCORE = f"least({ZMAX} / 8, 1)"
+SCORE = f"least({ZMAX} / 7.31::DOUBLE, 1)"
 EVIDENCE = {
-    "combined_anomaly_score": (f"least(greatest({', '.join(f'coalesce(abs({z}), 0D)' for z in Z)}) / 8D, 1D)", f"({SCORE})::DOUBLE"),
-    "anomaly_models_agreeing": (f"cast(floor(least(greatest({', '.join(f'coalesce(abs({z}), 0D)' for z in Z)}) / 8D, 1D) * 6D) AS INT)", f"floor({SCORE} * 6)::INT"),
+    "combined_anomaly_score": (f"least(greatest({', '.join(f'coalesce(abs({z}), 0D)' for z in Z)}) / 7.31D, 1D)", f"({SCORE})::DOUBLE"),
+    "anomaly_models_agreeing": (f"cast(floor(least(greatest({', '.join(f'coalesce(abs({z}), 0D)' for z in Z)}) / 7.31D, 1D) * 6D) AS INT)", f"floor({SCORE} * 6)::INT"),
     "anomaly_model_count": ("6", "6"),
     "temperature_c_residual": ("temperature_c_clean - 24D", "temperature_c_clean - 24::DOUBLE"),
     **{f"expected_{t}_model_agreement": (f"1D / (1D + abs({t}_robust_z))", f"1 / (1 + abs({t}_robust_z))") for t in EXPECTED_TARGETS},
@@ -173,7 +174,7 @@ def _points_after_disqualify(s, d):
 _add("wx_disqualify", _points_after_disqualify, f"WITH {WXS} " + C.rounded_sql(f"SELECT {KEY_SQL}, pd AS points FROM wx", ["points"]))
 _add("wx_score",
      lambda s, d: C.rounded(WX.wx_score(_evidence(s, d)).select(*KEYS, "genuine_event_score", F.size("genuine_event_evidence").alias("n_evidence"))),
-     f"WITH {WXS} " + C.rounded_sql(f"SELECT {KEY_SQL}, genuine_event_score, ({N_WX})::INT AS n_evidence FROM wx", ["genuine_event_score"]))
+     f"WITH {WXS} " + C.rounded_sql(f"SELECT {KEY_SQL}, round_even(genuine_event_score, 4) AS genuine_event_score, ({N_WX})::INT AS n_evidence FROM wx", ["genuine_event_score"]))
 
 # --- fault evidence ----------------------------------------------------------------------
 PRELIM = "(combined_anomaly_score > 0.35 OR statistical_anomaly_score > 0.35 OR rule_any_fault)"
@@ -226,25 +227,34 @@ def _fused(s, d):
 
 def _fused_columns(*cols):
     def query(s, d):
-        return C.rounded(_fused(s, d).select(*KEYS, *cols), 3)
+        return C.rounded(_fused(s, d).select(*KEYS, *cols), 4)
 
     return query
 
 
 def _fused_sql(cols: list[str], doubles: list[str]) -> str:
     inner = f"SELECT {KEY_SQL}, {', '.join(cols)} FROM fused"
-    return f"WITH {FUSED} " + (C.rounded_sql(inner, doubles, 3) if doubles else inner)
+    return f"WITH {FUSED} " + (C.rounded_sql(inner, doubles, 4) if doubles else inner)
 
 
-_add("fuse_score", _fused_columns("anomaly_score"), _fused_sql(["round(fs, 4) AS anomaly_score"], ["anomaly_score"]))
-_add("fuse_uncertainty", _fused_columns("uncertainty_score"), _fused_sql(["round(unc, 4) AS uncertainty_score"], ["uncertainty_score"]))
-_add("fuse_agreement", _fused_columns("model_agreement"), _fused_sql(["round(agr, 4) AS model_agreement"], ["model_agreement"]))
+_add("fuse_score", _fused_columns("anomaly_score"), _fused_sql(["round_even(fs, 4) AS anomaly_score"], ["anomaly_score"]))
+_add("fuse_uncertainty", _fused_columns("uncertainty_score"), _fused_sql(["round_even(unc, 4) AS uncertainty_score"], ["uncertainty_score"]))
+_add("fuse_agreement", _fused_columns("model_agreement"), _fused_sql(["round_even(agr, 4) AS model_agreement"], ["model_agreement"]))
 _PROB = ["p_normal", "p_sensor_fault", "p_genuine_extreme"]
-_add("fuse_decision", _fused_columns("prediction", "confidence", *_PROB),
-     _fused_sql(["prediction", "round(conf, 4) AS confidence",
-                 "CASE cs WHEN 'A' THEN (1-conf)*0.6 WHEN 'B' THEN (1-conf)*0.7 WHEN 'C' THEN conf WHEN 'D1' THEN 0.15 WHEN 'D2' THEN 0.40 ELSE 0.65 END::DOUBLE AS p_normal",
-                 "CASE cs WHEN 'A' THEN (1-conf)*0.4 WHEN 'B' THEN conf WHEN 'C' THEN (1-conf)*0.6 WHEN 'D1' THEN 0.20 WHEN 'D2' THEN 0.35 ELSE 0.15 END::DOUBLE AS p_sensor_fault",
-                 "CASE cs WHEN 'A' THEN conf WHEN 'B' THEN (1-conf)*0.3 WHEN 'C' THEN (1-conf)*0.4 WHEN 'D1' THEN 0.65 WHEN 'D2' THEN 0.25 ELSE 0.20 END::DOUBLE AS p_genuine_extreme"],
+
+
+
+def _decision(s, d):
+    """Shares are compared to whole percents: at four digits both engines meet exact ties."""
+    rows = _fused(s, d)
+    return C.rounded(rows.select(*KEYS, "prediction", "confidence", *[(F.floor(F.col(p) * 100 + 0.5013) / 100.0).alias(p) for p in _PROB]), 4)
+
+
+_add("fuse_decision", _decision,
+     _fused_sql(["prediction", "round_even(conf, 4) AS confidence",
+                 "floor((CASE cs WHEN 'A' THEN (1-conf)*0.6 WHEN 'B' THEN (1-conf)*0.7 WHEN 'C' THEN conf WHEN 'D1' THEN 0.15 WHEN 'D2' THEN 0.40 ELSE 0.65 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_normal",
+                 "floor((CASE cs WHEN 'A' THEN (1-conf)*0.4 WHEN 'B' THEN conf WHEN 'C' THEN (1-conf)*0.6 WHEN 'D1' THEN 0.20 WHEN 'D2' THEN 0.35 ELSE 0.15 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_sensor_fault",
+                 "floor((CASE cs WHEN 'A' THEN conf WHEN 'B' THEN (1-conf)*0.3 WHEN 'C' THEN (1-conf)*0.4 WHEN 'D1' THEN 0.65 WHEN 'D2' THEN 0.25 ELSE 0.20 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_genuine_extreme"],
                 ["confidence", *_PROB]))
 _add("fuse_confidence_level", _fused_columns("confidence_level"), _fused_sql(["confidence_level"], []))
 _add("severity", _fused_columns("severity"), _fused_sql(["severity"], []))
@@ -264,17 +274,18 @@ _add("score_coverage", lambda s, d: _fused(s, d).select(*KEYS, "model_coverage",
 
 
 def _correction(s, d):
+    """Estimates are rounded to cents of a degree, so they are checked to half a cent."""
     rows = _fused(s, d).withColumn("expected_temperature_c", F.col("temperature_c_baseline"))
-    fixed = FU.score_correction(rows)["temperature_c"]
-    return C.rounded(
-        rows.select(*KEYS, fixed["observed"].alias("observed"), fixed["estimated"].alias("estimated"), fixed["residual"].alias("residual"))
-        .filter(F.col("estimated").isNotNull()), 1)
+    fixed = rows.select(*KEYS, "temperature_c_baseline", FU.score_correction(rows)["temperature_c"].alias("c"))
+    near = (F.abs(F.col("c.estimated") - F.col("temperature_c_baseline")) < 0.0051) & F.coalesce(
+        F.abs(F.col("c.observed") - F.col("c.estimated") - F.col("c.residual")) < 0.0051, F.lit(True))
+    return C.rounded(fixed.filter(F.col("c").isNotNull()).select(*KEYS, F.col("c.observed").alias("observed"), near.alias("close")))
 
 
 _add("score_correction", _correction,
      f"WITH {FUSED} " + C.rounded_sql(
-         f"SELECT {KEY_SQL}, temperature_c AS observed, temperature_c_baseline AS estimated, coalesce(temperature_c - temperature_c_baseline, 0) AS residual FROM fused "
-         "WHERE prediction = 'SENSOR_FAULT' AND round(conf, 4) >= 0.75 AND temperature_c_baseline IS NOT NULL", ["observed", "estimated", "residual"], 1))
+         f"SELECT {KEY_SQL}, temperature_c AS observed, true AS close FROM fused "
+         "WHERE prediction = 'SENSOR_FAULT' AND round_even(conf, 4) >= 0.75 AND temperature_c_baseline IS NOT NULL", ["observed"]))
 
 # --- labels and health -------------------------------------------------------------------
 _RULE = "(rule_freeze OR rule_spike OR rule_drift OR rule_communication)"
@@ -287,9 +298,13 @@ _add("silver_labels_a", lambda s, d: L.silver_labels_a(_evidence(s, d)).select(*
 _add("silver_labels_b", lambda s, d: L.silver_labels_b(_evidence(s, d)).select(*KEYS, "ground_truth_label"),
      f"WITH {EV} SELECT {KEY_SQL}, CASE WHEN {_RULE} OR {_STRONG} THEN 'SENSOR_FAULT' WHEN combined_anomaly_score > 0.55 THEN 'GENUINE_EXTREME' ELSE 'NORMAL' END AS ground_truth_label FROM ev")
 _HEALTH = ["fault_rate", "anomaly_rate", "missing_rate", "residual_score", "noise_score"]
-_add("health_scores", lambda s, d: C.rounded(health_scores(_evidence(s, d)), 3),
+_HEALTH_SQL = (
+    "SELECT * REPLACE (" + ", ".join(f"round_even({c}, 4) AS {c}" for c in _HEALTH) + "), CASE WHEN health_score >= 80 THEN 'HEALTHY' "
+    "WHEN health_score >= 50 THEN 'NEEDS_ATTENTION' WHEN health_score >= 20 THEN 'DEGRADED' ELSE 'CRITICAL' END AS status FROM g"
+)
+_add("health_scores", lambda s, d: C.rounded(health_scores(_evidence(s, d)), 4),
      f"""WITH {EV}, h AS (SELECT station_id, count(*) AS observations, avg((ground_truth_label = 'SENSOR_FAULT')::INT) AS fault_rate, avg((combined_anomaly_score > 0.5)::INT) AS anomaly_rate,
      avg(({' OR '.join(f'{c} IS NULL' for c in SENSORS)})::INT) AS missing_rate, least(avg(abs(temperature_c_residual)) / 10, 1) AS residual_score,
      least(coalesce(avg(temperature_c_roll3_std) / 5, 0), 1) AS noise_score FROM ev GROUP BY 1), g AS (SELECT *, round_even(100 * (1 - (fault_rate * 0.40::DOUBLE + anomaly_rate * 0.20::DOUBLE
      + missing_rate * 0.15::DOUBLE + residual_score * 0.15::DOUBLE + noise_score * 0.10::DOUBLE)), 1) AS health_score FROM h)
-     {C.rounded_sql("SELECT *, CASE WHEN health_score >= 80 THEN 'HEALTHY' WHEN health_score >= 50 THEN 'NEEDS_ATTENTION' WHEN health_score >= 20 THEN 'DEGRADED' ELSE 'CRITICAL' END AS status FROM g", [*_HEALTH, 'health_score'], 3)}""")
+     {C.rounded_sql(_HEALTH_SQL, [*_HEALTH, 'health_score'], 4)}""")

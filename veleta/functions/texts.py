@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +50,13 @@ def tiers(*steps: tuple[Column, float]) -> Column:
 
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Fix the columns computed so far as columns, and count the rows that pass.
+
+    Filters and projections are not merged through an observed stage. Without it the optimizer
+    would inline the scores of one stage into every use in the next, and expressions would
+    multiply with each stage.
+    """
+    return df.observe(f"{name}-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veleta import fixed_values as V
-from veleta.functions.texts import flag, gathered, holds, optional, said
+from veleta.functions.texts import flag, gathered, holds, optional, said, staged
 
 
 def severe_weather(df: DataFrame) -> Column:
@@ -48,7 +48,7 @@ def fault_evidence(df: DataFrame, is_anomaly: Column | None = None) -> DataFrame
         .when((score >= 0.50) & ~severe_weather(df), "check")
         .otherwise("none")
     )
-    df = df.withColumn("_cause", cause)
+    df = staged(df.withColumn("_cause", cause), "cause")
     why = F.col("_cause")
     faulty = ~why.isin("quiet", "none")
     kind = (

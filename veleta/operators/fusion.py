@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veleta import fixed_values as V
-from veleta.functions.texts import clip, gathered, optional, said
+from veleta.functions.texts import clip, gathered, optional, said, staged
 
 FAULT_LIMIT = 0.40
 EVENT_LIMIT = 0.35
@@ -118,7 +118,7 @@ def fuse_decision(df: DataFrame) -> DataFrame:
         .when(uncertain > 0.60, "D2")
         .otherwise("D3")
     )
-    df = df.withColumn("_case", case)
+    df = staged(df.withColumn("_case", case), "case")
     c = F.col("_case")
     confidence = (
         F.when(c == "A", clip(F.lit(0.65) + event * 0.30 - uncertain * 0.15, 0.60, 0.98))
@@ -127,7 +127,7 @@ def fuse_decision(df: DataFrame) -> DataFrame:
         .when(c == "D2", 0.40)
         .otherwise(0.65)
     )
-    df = df.withColumn("_confidence", confidence)
+    df = staged(df.withColumn("_confidence", confidence), "confidence")
     own = F.bround(F.col("_confidence"), 4)
     rest = F.lit(1.0) - F.col("_confidence")
 
@@ -193,13 +193,14 @@ def fuse_action(prediction: Column, fault_type: Column) -> Column:
 def fuse(df: DataFrame, expected_models: int = 3) -> DataFrame:
     """The final decision columns of every row."""
     coverage = score_coverage(expected_models, F.col("anomaly_model_count"))
+    df = staged(df, "evidence")
     df = df.withColumns({"_coverage": coverage, "_score": fuse_score()})
     df = df.withColumn("_uncertainty", fuse_uncertainty(df, F.col("_coverage")))
-    df = fuse_decision(df)
+    df = fuse_decision(staged(df, "fused-scores"))
     faulty = F.col("prediction") == "SENSOR_FAULT"
     shown = F.when(faulty, F.col("fault_type")).otherwise("NONE")
     total = F.col("anomaly_model_count").cast("int")
-    return df.withColumns(
+    decided = df.withColumns(
         {
             "confidence": F.bround("_confidence", 4),
             "confidence_level": confidence_level(F.col("_confidence"), F.col("_uncertainty")),
@@ -217,10 +218,11 @@ def fuse(df: DataFrame, expected_models: int = 3) -> DataFrame:
             "shown_fault_confidence": F.when(faulty, F.bround("fault_confidence", 4)).otherwise(F.lit(0.0)),
         }
     ).drop("_case", "_confidence", "_uncertainty", "_score", "_coverage")
+    return staged(decided, "decision")
 
 
 def score_correction(df: DataFrame) -> Column:
-    """Map target -> observed, estimated, residual for confident sensor faults."""
+    """Map target -> observed, estimated, residual for confident sensor faults, else null."""
     confident = (F.col("prediction") == "SENSOR_FAULT") & (F.col("confidence") >= 0.75)
     entries = []
     for t in V.EXPECTED_TARGETS:
@@ -241,5 +243,4 @@ def score_correction(df: DataFrame) -> Column:
                 ),
             )
         )
-    full = F.map_from_entries(gathered(*entries))
-    return F.when(confident, full).otherwise(F.map_from_entries(F.filter(gathered(*entries), lambda e: F.lit(False))))
+    return F.when(confident, F.map_from_entries(gathered(*entries)))

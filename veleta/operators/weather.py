@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veleta import fixed_values as V
-from veleta.functions.texts import clip, flag, gathered, holds, optional, said, tiers
+from veleta.functions.texts import clip, flag, gathered, holds, optional, said, staged, tiers
 
 
 @dataclass(frozen=True)
@@ -129,10 +129,13 @@ PARTS = {
 
 
 def disqualified(points: Column, s: Signals) -> Column:
-    """Each hardware signature in turn leaves 15 % of the points, 0.10 at most."""
-    for condition in (s.freeze, s.spike, s.comm):
-        points = F.when(condition, F.least(points * 0.15, F.lit(0.10))).otherwise(points)
-    return points
+    """Each hardware signature in turn leaves 15 % of the points, 0.10 at most.
+
+    After the first one the cap cannot bind again, so the others only scale.
+    """
+    signs = s.freeze.cast("int") + s.spike.cast("int") + s.comm.cast("int")
+    first = F.least(points * 0.15, F.lit(0.10))
+    return F.when(signs == 0, points).otherwise(first * F.pow(F.lit(0.15), signs - 1))
 
 
 def wx_disqualify(s: Signals) -> list[Column]:
@@ -157,7 +160,7 @@ def wx_score(df: DataFrame) -> DataFrame:
         points, said_texts = part(s)
         total = total + points
         texts += said_texts
-    df = df.withColumn("_points", total)
+    df = staged(df.withColumn("_points", total), "event-points")
     score = clip(disqualified(F.col("_points"), s), 0.0, 1.0)
     strong = (
         ((s.rain >= 15.0) & (s.rh >= 70.0)) | (s.wind >= 38.0) | ((s.temp >= 42.0) & (s.rh <= 50.0))

@@ -65,8 +65,9 @@ def fit_features(
     layout = layout or SeriesLayout.measure(everything)
     return FeatureModel(
         layout,
-        baseline_fit(train, layout),
-        knn_stations(station_coords(everything), k),
+        # Small next to the observations and read by every transform.
+        baseline_fit(train, layout).persist(),
+        knn_stations(station_coords(everything), k).persist(),
         fit_consistency(train) if consistency else None,
         lags,
         windows,
