@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -26,11 +27,19 @@ def parse_number(text: Column) -> Column:
     return F.when(usable, number)
 
 
+def _shape(layout: str) -> str:
+    """Regular expression of the digits and separators of a layout."""
+    return "^" + re.sub("[yMdHmsS]", "[0-9]", layout.replace("'", "")) + "$"
+
+
 def parse_timestamp(text: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First layout that fits, day before month; null when none does."""
+    """First layout that fits, day before month; null when none does.
+
+    The shape of the text picks the one layout to parse with, as failed parses are costly.
+    """
     trimmed = F.trim(text)
-    parsed = [F.try_to_timestamp(trimmed, F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    layout = F.coalesce(*[F.when(trimmed.rlike(_shape(f)), F.lit(f)) for f in formats])
+    return F.try_to_timestamp(trimmed, layout).cast("timestamp_ntz")
 
 
 def parse_epoch(text: Column) -> Column:

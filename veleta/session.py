@@ -50,3 +50,9 @@ def checkpoint(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on, for a session made elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark

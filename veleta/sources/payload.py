@@ -15,6 +15,7 @@ from veleta.functions.parse import (
     parse_timestamp,
     usable_text,
 )
+from veleta.functions.texts import staged
 from veleta.operators.dedup import dedup_first
 
 RECORD, RECORDS = "MAP<STRING,STRING>", "ARRAY<MAP<STRING,STRING>>"
@@ -29,7 +30,7 @@ def src_payload(df: DataFrame, column: str = "payload") -> DataFrame:
     text = F.trim(F.col(column))
     bare = F.when(text.startswith("["), F.from_json(text, RECORDS))
     top = F.when(text.startswith("{"), F.from_json(text, RECORD))
-    df = df.withColumns({"_bare": bare, "_top": top})
+    df = staged(df.withColumns({"_bare": bare, "_top": top}), "payloads")
     wrapped = [
         F.when(F.col("_top")[k].startswith("["), F.from_json(F.col("_top")[k], RECORDS)) for k in V.WRAPPER_KEYS
     ]
@@ -155,18 +156,18 @@ def normalize_records(records: DataFrame, now: Column | None = None) -> DataFram
     ``timestamp`` is null where its text is in no known layout.
     """
     now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-    keyed = records.withColumn("_m", norm_keys(F.col("raw")))
+    keyed = staged(records.withColumn("_m", norm_keys(F.col("raw"))), "records")
     m = F.col("_m")
     keyed = keyed.withColumn("station_id", first_usable(m, V.ALIASES["station_id"])).filter(
         F.col("station_id").isNotNull()
     )
-    named = keyed.withColumns(
+    named = staged(keyed.withColumns(
         {
             "station_name": norm_station_name(m, F.col("station_id")),
             "_lat": parse_number(first_present(m, V.ALIASES["latitude"])),
             "_lon": parse_number(first_present(m, V.ALIASES["longitude"])),
         }
-    )
+    ), "stations")
     search = F.concat_ws(" ", "station_name", F.coalesce(m["district"], F.lit("")), F.coalesce(m["state"], F.lit("")))
     lat, lon = norm_coord_repair(F.col("_lat"), F.col("_lon"), F.col("station_id"), search)
     return named.withColumns(
