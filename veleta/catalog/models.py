@@ -106,8 +106,15 @@ ORACLES["ad_consensus"] = f"WITH {NQ} " + C.rounded_sql(
 
 
 # --- classifiers and the whole chain -----------------------------------------------------
+# The registered chain fits two regressors and two classifiers, as every other candidate is a
+# query of its own above; ``train_job`` fits all of them unless told otherwise.
+CHAIN_REGRESSORS = {n: E.CANDIDATES[n] for n in ("ridge", "gradient_boosting")}
+CHAIN_CLASSIFIERS = {n: D.CANDIDATES[n] for n in ("logistic_regression", "random_forest")}
+
+
 def _training(s, d):
-    return C.once(s, d, "training", lambda: train_job(C.grid(s, d)))
+    return C.once(
+        s, d, "training", lambda: train_job(C.grid(s, d), consistency=False, regressors=CHAIN_REGRESSORS, classifiers=CHAIN_CLASSIFIERS))
 
 
 def _train_report(s, d):
