@@ -71,8 +71,10 @@ def st_ingest(payloads: DataFrame, store: ObservationStore, checkpoint: str, pol
     """Payloads to stored observations; existing keys are left alone."""
 
     def each(batch: DataFrame, number: int) -> None:
-        accepted, _ = norm_batch(src_payload(batch, column))
+        # A micro-batch is read twice: for its time span and for the append.
+        accepted = norm_batch(src_payload(batch, column))[0].persist()
         store.insert_ignore(accepted)
+        accepted.unpersist()
 
     return start(payloads, each, checkpoint, poll)
 
