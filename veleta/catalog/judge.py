@@ -299,10 +299,18 @@ _add("silver_labels_b", lambda s, d: L.silver_labels_b(_evidence(s, d)).select(*
      f"WITH {EV} SELECT {KEY_SQL}, CASE WHEN {_RULE} OR {_STRONG} THEN 'SENSOR_FAULT' WHEN combined_anomaly_score > 0.55 THEN 'GENUINE_EXTREME' ELSE 'NORMAL' END AS ground_truth_label FROM ev")
 _HEALTH = ["fault_rate", "anomaly_rate", "missing_rate", "residual_score", "noise_score"]
 _HEALTH_SQL = (
-    "SELECT * REPLACE (" + ", ".join(f"round_even({c}, 4) AS {c}" for c in _HEALTH) + "), CASE WHEN health_score >= 80 THEN 'HEALTHY' "
+    "SELECT * REPLACE (" + ", ".join(f"floor(round_even({c}, 4) * 1000 + 0.5013::DOUBLE) / 1000 AS {c}" for c in _HEALTH) + "), CASE WHEN health_score >= 80 THEN 'HEALTHY' "
     "WHEN health_score >= 50 THEN 'NEEDS_ATTENTION' WHEN health_score >= 20 THEN 'DEGRADED' ELSE 'CRITICAL' END AS status FROM g"
 )
-_add("health_scores", lambda s, d: C.rounded(health_scores(_evidence(s, d)), 4),
+
+
+def _health(s, d):
+    """Components to thousandths: at four digits the engines meet exact ties."""
+    rows = health_scores(_evidence(s, d))
+    return C.rounded(rows.withColumns({c: F.floor(F.col(c) * 1000 + 0.5013) / 1000.0 for c in _HEALTH}), 4)
+
+
+_add("health_scores", _health,
      f"""WITH {EV}, h AS (SELECT station_id, count(*) AS observations, avg((ground_truth_label = 'SENSOR_FAULT')::INT) AS fault_rate, avg((combined_anomaly_score > 0.5)::INT) AS anomaly_rate,
      avg(({' OR '.join(f'{c} IS NULL' for c in SENSORS)})::INT) AS missing_rate, least(avg(abs(temperature_c_residual)) / 10, 1) AS residual_score,
      least(coalesce(avg(temperature_c_roll3_std) / 5, 0), 1) AS noise_score FROM ev GROUP BY 1), g AS (SELECT *, round_even(100 * (1 - (fault_rate * 0.40::DOUBLE + anomaly_rate * 0.20::DOUBLE

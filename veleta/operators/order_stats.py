@@ -18,8 +18,11 @@ SMALL_GROUP_ROWS = 4_000_000
 
 
 def magnitude_bin(value: Column) -> Column:
-    """Monotone bin of any finite double: fine near zero, about 1.5 % wide elsewhere."""
-    return F.floor(F.asinh(value * 1000.0) * 64.0)
+    """Monotone bin of any finite double: fine near zero, about 1.5 % wide elsewhere.
+
+    The sign is taken out first: for large negative arguments the built-in loses its order.
+    """
+    return F.floor(F.signum(value) * F.asinh(F.abs(value) * 1000.0) * 64.0)
 
 
 def with_running_totals(
