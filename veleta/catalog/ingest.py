@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veleta.catalog import common as C
 from veleta.fixed_values import ALIASES, COUNTRY_BOX, REQUEST_BOUNDS, SENSORS
 from veleta.functions.parse import first_present, first_usable, parse_number
+from veleta.functions.texts import staged
 from veleta.operators import filters as FL
 from veleta.operators import preprocess as P
 from veleta.session import scratch_dir
@@ -199,7 +200,7 @@ def _typed(s, d):
 
 
 def _keyed(s, d):
-    return _records(s, d).select("seq", PL.norm_keys(F.col("raw")).alias("m"))
+    return staged(_records(s, d).select("seq", PL.norm_keys(F.col("raw")).alias("m")), "keyed")
 
 
 # Which records keep an id; a null reading makes its JSON entry null except where replaced.

@@ -252,9 +252,9 @@ def _decision(s, d):
 
 _add("fuse_decision", _decision,
      _fused_sql(["prediction", "round_even(conf, 4) AS confidence",
-                 "floor((CASE cs WHEN 'A' THEN (1-conf)*0.6 WHEN 'B' THEN (1-conf)*0.7 WHEN 'C' THEN conf WHEN 'D1' THEN 0.15 WHEN 'D2' THEN 0.40 ELSE 0.65 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_normal",
-                 "floor((CASE cs WHEN 'A' THEN (1-conf)*0.4 WHEN 'B' THEN conf WHEN 'C' THEN (1-conf)*0.6 WHEN 'D1' THEN 0.20 WHEN 'D2' THEN 0.35 ELSE 0.15 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_sensor_fault",
-                 "floor((CASE cs WHEN 'A' THEN conf WHEN 'B' THEN (1-conf)*0.3 WHEN 'C' THEN (1-conf)*0.4 WHEN 'D1' THEN 0.65 WHEN 'D2' THEN 0.25 ELSE 0.20 END::DOUBLE) * 100 + 0.5013::DOUBLE) / 100 AS p_genuine_extreme"],
+                 "floor(round_even(CASE cs WHEN 'A' THEN (1-conf)*0.6 WHEN 'B' THEN (1-conf)*0.7 WHEN 'C' THEN conf WHEN 'D1' THEN 0.15 WHEN 'D2' THEN 0.40 ELSE 0.65 END::DOUBLE, 4) * 100 + 0.5013::DOUBLE) / 100 AS p_normal",
+                 "floor(round_even(CASE cs WHEN 'A' THEN (1-conf)*0.4 WHEN 'B' THEN conf WHEN 'C' THEN (1-conf)*0.6 WHEN 'D1' THEN 0.20 WHEN 'D2' THEN 0.35 ELSE 0.15 END::DOUBLE, 4) * 100 + 0.5013::DOUBLE) / 100 AS p_sensor_fault",
+                 "floor(round_even(CASE cs WHEN 'A' THEN conf WHEN 'B' THEN (1-conf)*0.3 WHEN 'C' THEN (1-conf)*0.4 WHEN 'D1' THEN 0.65 WHEN 'D2' THEN 0.25 ELSE 0.20 END::DOUBLE, 4) * 100 + 0.5013::DOUBLE) / 100 AS p_genuine_extreme"],
                 ["confidence", *_PROB]))
 _add("fuse_confidence_level", _fused_columns("confidence_level"), _fused_sql(["confidence_level"], []))
 _add("severity", _fused_columns("severity"), _fused_sql(["severity"], []))
