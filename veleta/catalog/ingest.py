@@ -188,7 +188,7 @@ CASE seq % 4 WHEN 0 THEN concat('[', r, ']') WHEN 1 THEN concat('{"status":"ok",
 
 def _payloads(s, d):
     rows = C.obs(s, d).selectExpr("seq", "station_no", f"to_json({RECORD}) AS r")
-    return rows.selectExpr("seq", f"{WRAPPED} AS payload").filter("payload IS NOT NULL")
+    return rows.selectExpr("seq", f"{WRAPPED} AS payload")
 
 
 def _records(s, d):
