@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veleta.llm.common import slices, stored, text_of
+from veleta.llm.common import stored, text_of
 from veleta.llm.tokenization import encode_ids
 
 SEQUENCE = 1024
@@ -19,30 +19,29 @@ LEAF_ITEMS = 30_000  # items that one leaf packs
 FAN_IN = 8  # groups that meet in one group of the next level
 FULL_SHARE = 1.0  # bins filled to this share leave the tree at once
 
-PIECES = "doc_id LONG, row_key LONG, piece INT, start LONG, length LONG, ids_crc32 LONG"
 # An item is six longs in a row: doc_id, whether that is null, piece, start, length, crc32.
 FIELDS = 6
 BINS = "bin_group LONG, bin_no LONG, used LONG, items array<long>, offsets array<long>, done BOOLEAN"
 
 
-def _pieces(path: str, sequence: int, end_id: int):
+def _encoded(path: str, sequence: int, end_id: int):
+    """Per text: the number of its ids with the end id, then the crc32 of each piece."""
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            out = []
-            for doc_id, key, ids in zip(batch["doc_id"], batch["row_key"], encode_ids(batch["text"].tolist(), path)):
-                ids += end
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                length = len(ids) // 4
-                first = length % sequence or sequence
-                start = 0
-                for piece in range(-(-length // sequence)):
-                    n = first if piece == 0 else sequence
-                    out.append((doc_id, key, piece, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-                    start += n
-            frame = pd.DataFrame(out, columns=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+    def encode(texts: pd.Series) -> list[list[int]]:
+        out = []
+        for ids in encode_ids(texts.tolist(), path):
+            ids += end
+            length = len(ids) // 4
+            cuts = [0, *range(length % sequence or sequence, length + 1, sequence)]
+            out.append([length, *(zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:]))])
+        return out
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            parts = [encode(batch.iloc[i : i + 256]) for i in range(0, len(batch), 256)]
+            yield pd.Series([x for part in parts for x in part], dtype=object)
 
     return run
 
@@ -50,8 +49,17 @@ def _pieces(path: str, sequence: int, end_id: int):
 def token_pieces(documents: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Ids of every whole text and one end id, cut into pieces of ``sequence`` tokens; only the first may be shorter."""
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return keyed.mapInPandas(_pieces(tokenizer_path, sequence, end_id), PIECES)
+    encoded = keyed.select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _encoded(tokenizer_path, sequence, end_id)("text").alias("ids"))
+    first = F.pmod(F.get("ids", F.lit(0)) - 1, F.lit(sequence)) + 1
+    pieces = encoded.select(
+        "doc_id", "row_key", first.alias("first"), F.posexplode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("piece", "ids_crc32"))
+    return pieces.select(
+        "doc_id", "row_key", "piece",
+        F.when(F.col("piece") == 0, 0).otherwise(F.col("first") + (F.col("piece") - 1) * F.lit(sequence)).cast("long").alias("start"),
+        F.when(F.col("piece") == 0, F.col("first")).otherwise(F.lit(sequence)).cast("long").alias("length"),
+        "ids_crc32",
+    )
 
 
 def best_fit(lengths: list[int], room: int) -> list[int]:
