@@ -1,8 +1,66 @@
-"""The corpus pipeline: stages from documents to packed training sequences."""
+"""The corpus pipeline: documents are filtered, thinned of near copies, masked, mixed and packed into training sequences.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of documents; the
+last returns pieces in sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veleta.llm.common import stored, table
+from veleta.llm.mixing import mix
+from veleta.llm.near_dedup import near_copies
+from veleta.llm.packing import pack_documents
+from veleta.llm.pii import mask_pii
+from veleta.llm.quality_model import fit_quality, keep_quality
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from their labels, does not reject."""
+    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies. Rows without a doc_id stay."""
+    dropped = stored(near_copies(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "near-copies")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return mask_pii(docs)
+
+
+def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it. Rows of one doc_id are taken as often as the most taken of them."""
+    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = stored(copies.select(F.col("doc_id").alias("mixed_id"), "copies"), "mix-copies")
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("mixed_id"))
+    rows = rows.join(copies, rows["mixed_id"].eqNullSafe(copies["mixed_id"])).select("doc", "copies")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("doc")[n].alias(n) for n in names])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", classify), ("near-dedup", thin), ("pii", mask), ("source mixing", blend), ("best-fit packing", pack),
+]
+ORACLE_SQL = None  # models, tokenizers and hashes of sets have no SQL; tests compare every stage with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
+
+
+QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}
-ORACLE_SQL = None

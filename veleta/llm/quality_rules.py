@@ -134,3 +134,31 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> Data
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & passed).alias("kept"), "n_lines", "n_stop_words",
     )
+
+
+def _oracle() -> str:
+    stop = sorted({form for words in STOP_WORDS.values() for w in words for form in (w, w.capitalize(), w + ".", w + ",")})
+    checks = []
+    for r in RULES:
+        sides = [f"{r.numerator} >= {r.low}::DOUBLE * {r.denominator}"] if r.low is not None else []
+        sides += [f"{r.numerator} <= {r.high}::DOUBLE * {r.denominator}"] if r.high is not None else []
+        checks.append(f"({r.denominator} = 0 OR ({' AND '.join(sides)}))")
+    listed = ", ".join(f"'{w}'" for w in stop)
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM t),
+tri AS (SELECT r, i, ws[i:i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+  len(list_filter(ws, lambda x: x IN ({listed})))::BIGINT AS n_stop_words FROM w LEFT JOIN cov USING (r)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {' AND '.join(checks)} AS kept, n_lines, n_stop_words FROM b
+"""
+
+
+ORACLE_SQL = _oracle()
