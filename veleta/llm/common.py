@@ -37,11 +37,6 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row, and ``body`` on the result; for uses inside lambdas of other functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     """Smaller frames, so that per-batch temporaries stay small where texts are long."""
     for batch in batches:

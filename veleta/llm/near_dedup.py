@@ -22,6 +22,8 @@ BAND = 4  # registers of a band, 16 bits each: a band is one long
 MANTISSA = 10  # bits kept below the leading one; the six above count leading zeros
 SLACK = 6.0  # standard deviations by which an estimate may miss the limit before a pair is dropped
 BLOCK = 512  # rows of a bucket that are compared with each other at a time
+WHOLE = 256  # sets up to this size travel whole to where a bucket's classes are compared
+SAMPLE = 512  # smallest hashes of larger ones, half as long
 MEMO_WORDS = 500_000
 
 _VALUE_BITS = 57  # of a 64-bit hash the upper 7 name the register
@@ -79,6 +81,10 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return registers
 
 
+def digest_of(hashes: np.ndarray) -> str:
+    return blake2b(hashes.tobytes(), digest_size=16).hexdigest()
+
+
 SIGNED = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("registers", T.BinaryType()),
 ])
@@ -90,7 +96,7 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in texts:
             hashes = shingle_set(text)
-            rows.append((len(hashes), blake2b(hashes.tobytes(), digest_size=16).hexdigest(), signature(hashes).tobytes()) if len(hashes) else (0, None, None))
+            rows.append((len(hashes), digest_of(hashes), signature(hashes).tobytes()) if len(hashes) else (0, None, None))
         yield pd.DataFrame(rows, columns=["n", "digest", "registers"])
 
 
@@ -141,16 +147,56 @@ def _linked_udf(percent: int):
     return run
 
 
+SAMPLED = T.StructType([T.StructField("sample", T.BinaryType()), T.StructField("digest", T.StringType())])
+
+
+@F.pandas_udf(SAMPLED)
+def _sampled(texts: pd.Series) -> pd.DataFrame:
+    """The whole set if it is small, else the upper halves of its smallest hashes; and the set's digest."""
+    rows = []
+    for text in texts:
+        x = shingle_set(text)
+        rows.append((x.tobytes() if len(x) <= WHOLE else (x[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes(), digest_of(x)))
+    return pd.DataFrame(rows, columns=["sample", "digest"])
+
+
+def _sample_of(data: bytes, n: int) -> np.ndarray:
+    return (np.frombuffer(data, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32) if n <= WHOLE else np.frombuffer(data, dtype=np.uint32)
+
+
+def sampled_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of hashes that both have among the smallest of either; the Jaccard index itself where both are whole."""
+    both = np.sort(np.concatenate([a, b]))
+    if len(a) == SAMPLE or len(b) == SAMPLE:  # beyond the smaller of the last hashes, a sample is silent
+        last = min(x[-1] for x in (a, b) if len(x) == SAMPLE)
+        both = both[: np.searchsorted(both, last, side="right")]
+    twice = int((both[1:] == both[:-1]).sum())
+    return twice / max(len(both) - twice, 1)
+
+
 def _across(percent: int):
-    """Likely pairs between different components, block against block of each bucket."""
+    """Pairs between different components, block against block of each bucket.
+
+    A pair is looked at in the first bucket that it shares. Small sets are compared whole, and a link joins its components
+    at once, so that these give no more links than a tree has. Of larger sets, pairs pass whose sample allows a link.
+    """
+    limit = percent / 100
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[int, int]] = set()
-        frame = frame.sort_values(["key", "i", "j"], kind="stable")
+        found: list[tuple[int, int]] = []
+        frame = frame.sort_values(["key", "i", "j", "node"], kind="stable")
         node, label = frame["node"].to_numpy(), frame["label"].to_numpy()
         n, block = frame["n"].to_numpy(np.float64), frame["block"].to_numpy()
-        place = frame[["key", "i", "j"]].to_numpy()
+        place, band, sample = frame[["key", "i", "j"]].to_numpy(), frame["band"].to_numpy(), frame["sample"].tolist()
         registers = np.frombuffer(b"".join(frame["registers"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        bands = registers.view(np.uint64)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(frame)]):
             rows = np.arange(a, b)
@@ -158,10 +204,26 @@ def _across(percent: int):
             for x in left:
                 others = right[(label[right] != label[x]) & (node[right] > node[x] if place[a, 1] == place[a, 2] else node[right] != node[x])]
                 others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
-                if len(others):
-                    good = others[likely((registers[others] == registers[x]).sum(axis=1), n[others], np.full(len(others), n[x]), percent)]
-                    found.update((min(node[x], y), max(node[x], y)) for y in node[good])
-        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype(np.int64)
+                others = others[(bands[others] == bands[x])[:, : band[a]].sum(axis=1) == 0] if len(others) else others
+                if not len(others):
+                    continue
+                good = others[likely((registers[others] == registers[x]).sum(axis=1), n[others], np.full(len(others), n[x]), percent)]
+                for y in good:
+                    p, q = root(label[x]), root(label[y])
+                    if p == q:
+                        continue
+                    if max(n[x], n[y]) <= WHOLE:
+                        own, other = (np.frombuffer(sample[z], dtype=np.uint64) for z in (x, y))
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * both < percent * (n[x] + n[y] - both):
+                            continue
+                        joined[max(p, q)] = min(p, q)
+                    else:
+                        most = SAMPLE if max(n[x], n[y]) > SAMPLE else 10**6
+                        if sampled_jaccard(_sample_of(sample[x], n[x]), _sample_of(sample[y], n[y])) < limit - SLACK * np.sqrt(limit * (1 - limit) / most):
+                            continue
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype(np.int64)
 
     return run
 
@@ -181,13 +243,13 @@ class NearCopies:
             self.rows.join(named, ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "digest", "n", "registers").dropDuplicates(["node", "digest"]), "nodes")
 
     def buckets(self) -> DataFrame:
-        """key, node, n, size and centre of the bands that at least two classes share.
+        """key, band, node, n, size and centre of the bands that at least two classes share.
 
         ``centre`` is, of the bucket's classes, the one that shares most with others: the likely original of a group.
         """
         count = REGISTERS // BAND
         bands = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
-        keyed = self.nodes.select("node", "n", F.explode(bands).alias("key"))
+        keyed = self.nodes.select("node", "n", F.posexplode(bands).alias("band", "key"))
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1")
         rows = stored(keyed.join(shared, "key"), "bands")
         weight = rows.groupBy("node").agg(F.sum(F.log2("size")).alias("weight"))
@@ -215,16 +277,19 @@ class NearCopies:
 
     def cross_pairs(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """Likely pairs in buckets that still hold different components. Large buckets are compared in blocks."""
-        rows = buckets.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = buckets.select("key", "band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        rows = rows.join(mixed, "key", "left_semi").join(self.nodes.select("node", "n", "registers"), "node")
+        rows = stored(rows.join(mixed, "key", "left_semi"), "mixed")
+        ends = stored(rows.select(F.col("node").alias("doc_id")).distinct(), "mixed-ends")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        groups = (rows.agg(F.sum(blocks)).first()[0] or 0) // 10_000 + 1
+        samples = self.texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), _sampled("text").alias("s"))
+        samples = stored(samples.select("node", "s.*"), "samples").dropDuplicates(["node", "digest"])
+        rows = rows.join(self.nodes.join(samples, ["node", "digest"]).select("node", "n", "registers", "sample"), "node")
         rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = rows.select("key", "node", "label", "n", "registers", "block", other).select(
-            "key", "node", "label", "n", "registers", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        dealt = stored(dealt, "cross")
-        groups = max(1, dealt.count() // 20_000)
+        kept = ["key", "band", "node", "label", "n", "registers", "sample", "block"]
+        dealt = rows.select(*kept, other).select(*kept, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
         return dealt.groupBy("group").applyInPandas(_across(self.percent), "a LONG, b LONG").distinct()
 

@@ -1,7 +1,7 @@
 """Token counts and ids by the installed tokenizers, memoised per word inside an executor's Python process.
 
 Both vocabularies split a text at white space before merging, so a text's tokens are those of its pieces, one after
-the other. The library itself encodes each distinct piece once per process; the memo is emptied when full, which
+the other. The library itself encodes each distinct piece once per process; the memo drops entries when full, which
 changes time only. Texts in which a cut at ASCII white space could matter go to the library whole.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 
@@ -39,9 +39,10 @@ _memos: dict[tuple[str, str], dict] = {}
 
 
 def _memo(kind: str, path: str) -> dict:
+    """Words seen so far. A full memo keeps its older half: frequent words come early."""
     memo = _memos.setdefault((kind, path), {})
     if len(memo) > MEMO_ENTRIES:
-        memo.clear()
+        memo = _memos[kind, path] = dict(islice(memo.items(), MEMO_ENTRIES // 2))
     return memo
 
 
@@ -49,7 +50,7 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text under a vocabulary whose tokenizer drops white space."""
     memo, encode = _memo("count", path), tokenizer(path).encode_batch_fast
     words = [t.encode("utf-8").split() for t in texts]
-    missing = list({w for ws in words for w in ws if w not in memo})
+    missing = list(set().union(*words).difference(memo))
     for start in range(0, len(missing), 20_000):
         part = missing[start : start + 20_000]
         memo.update(zip(part, (len(e) for e in encode([w.decode("utf-8") for w in part], add_special_tokens=False))))
@@ -61,7 +62,7 @@ def encode_ids(texts: list[str], path: str) -> list[bytes]:
     memo, encode = _memo("ids", path), tokenizer(path).encode_batch_fast
     pieces = [[t] if _SPECIAL in t or _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
     whole = {p[0] for p in pieces if len(p) == 1 and len(p[0]) > 200}
-    missing = list({p for p in chain.from_iterable(pieces) if p not in memo} - whole)
+    missing = list(set().union(*pieces).difference(memo, whole))
     for start in range(0, len(missing), 20_000):
         part = missing[start : start + 20_000]
         encoded = encode(part, add_special_tokens=False)
