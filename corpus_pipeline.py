@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veleta.llm.common import stored, table
-from veleta.llm.mixing import mix
+from veleta.llm.mixing import mixed_documents
 from veleta.llm.near_dedup import near_copies
 from veleta.llm.packing import pack_documents
 from veleta.llm.pii import mask_pii
@@ -35,13 +35,8 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Rows of one doc_id are taken as often as the most taken of them."""
-    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = stored(copies.select(F.col("doc_id").alias("mixed_id"), "copies"), "mix-copies")
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("mixed_id"))
-    rows = rows.join(copies, rows["mixed_id"].eqNullSafe(copies["mixed_id"])).select("doc", "copies")
-    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("doc")[n].alias(n) for n in names])
+    """Every document as often as the mix takes it."""
+    return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

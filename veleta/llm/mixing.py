@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veleta.llm.common import stored, text_of, word_list
@@ -86,6 +86,32 @@ def truncation(rows: DataFrame, most: int) -> tuple[float, str, int] | None:
     return tuple(last) if last else None
 
 
+def _keyed(documents: DataFrame, seed: str) -> DataFrame:
+    """The documents with source_key, size and shuffle_key; the last two and doc_id are a row's place in its source's queue."""
+    return documents.withColumns({
+        "source_key": F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b")),
+        "size": F.size(word_list(text_of())).cast("long"),
+        "shuffle_key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))),
+    })
+
+
+def _queue(documents: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """doc_id, source, source_key, size, shuffle_key, upto, source_size and target of every row."""
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    rows = stored(_keyed(plain, seed).drop("text"), "mix-sizes")
+    sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
+    shares = stored(source_targets(sizes, weights, most), "mix-targets")
+    return stored(queued(rows).join(shares, "source_key"), "mix-queue")
+
+
+def _taken(copy: int, last: tuple[float, str, int]) -> Column:
+    """Whether this copy of a row is not behind the last one that the budget takes."""
+    limit = F.struct(F.lit(float(last[0])), F.lit(last[1]), F.lit(int(last[2])).cast("long"))
+    place = F.lit(copy).cast("long") * F.col("source_size") + F.col("upto")
+    counts = (F.col("size") > 0) & (F.col("target") > 0)
+    return F.when(counts, F.struct(place / F.col("target"), F.col("source_key"), place) <= limit).otherwise(F.lit(False))
+
+
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
     """How often each document enters the mix.
 
@@ -96,32 +122,41 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Returns doc_id, source, size, source_size, target, copies and taken per input row. A null text has no words and takes
     none; a null source is a source of its own, last in order; repeated rows queue one by one; an empty table gives no rows.
     """
-    source_key = F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b"))
-    rows = stored(
-        documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), source_key.alias("source_key"),
-            F.size(word_list(text_of())).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle_key"),
-        ),
-        "mix-sizes",
-    )
-    sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    shares = stored(source_targets(sizes, weights, most), "mix-targets")
-    placed = stored(queued(rows).join(shares, "source_key"), "mix-queue")
+    placed = _queue(documents, weights, most, seed)
     last = truncation(placed, most)
     copies = F.lit(0)
     if last:
-        limit = F.struct(F.lit(float(last[0])), F.lit(last[1]), F.lit(int(last[2])).cast("long"))
         for copy in range(most):
-            place = F.lit(copy).cast("long") * F.col("source_size") + F.col("upto")
-            copies = copies + F.when(F.struct(place / F.col("target"), F.col("source_key"), place) <= limit, 1).otherwise(0)
-        copies = F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(0)
+            copies = copies + _taken(copy, last).cast("int")
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
         (copies.cast("long") * F.col("size")).alias("taken"),
     )
 
 
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+    """The documents as often as the mix takes them, with their columns as they came.
+
+    Of each copy, a source gives the start of its queue. The last place taken, one per source and copy, therefore
+    tells for every row what becomes of it, and texts need not be shuffled. Rows equal in doc_id and size share a place.
+    """
+    placed = _queue(documents, weights, most, seed)
+    last = truncation(placed, most)
+    if last is None:
+        return documents.limit(0)
+    place = F.struct("shuffle_key", "doc_id", "size")
+    ends = [F.max(F.when(_taken(copy, last), place)).alias(f"end_{copy}") for copy in range(most)]
+    ends = stored(placed.groupBy("source_key").agg(*ends), "mix-ends")
+    names = documents.columns
+    rows = documents.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    rows = _keyed(rows, seed).select("doc", "source_key", place.alias("place"), "size").join(ends, "source_key")
+    copies = F.lit(0)
+    for copy in range(most):
+        copies = copies + F.coalesce(F.col("place") <= F.col(f"end_{copy}"), F.lit(False)).cast("int")
+    counted = rows.select("doc", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")).filter("copies > 0")
+    return counted.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("doc")[n].alias(n) for n in names])
+
+
 ORACLE_SQL = f"""
 WITH rows AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS source_key,

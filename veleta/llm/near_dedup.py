@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ SLACK = 6.0  # standard deviations by which an estimate may miss the limit befor
 BLOCK = 512  # rows of a bucket that are compared with each other at a time
 WHOLE = 256  # sets up to this size travel whole to where a bucket's classes are compared
 SAMPLE = 512  # smallest hashes of larger ones, half as long
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 _VALUE_BITS = 57  # of a 64-bit hash the upper 7 name the register
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -36,8 +37,9 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, dtype=np.uint64)
-    if len(_word_hash) > MEMO_WORDS:
-        _word_hash.clear()
+    if len(_word_hash) > MEMO_WORDS:  # frequent words come early: the older half stays
+        for w in list(islice(_word_hash, MEMO_WORDS // 2, None)):
+            del _word_hash[w]
     for w in parts:
         if w not in _word_hash:
             _word_hash[w] = xxhash.xxh3_64_intdigest(w)
@@ -282,7 +284,7 @@ class NearCopies:
         rows = stored(rows.join(mixed, "key", "left_semi"), "mixed")
         ends = stored(rows.select(F.col("node").alias("doc_id")).distinct(), "mixed-ends")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        groups = (rows.agg(F.sum(blocks)).first()[0] or 0) // 10_000 + 1
+        groups = (rows.agg(F.sum(blocks)).first()[0] or 0) // 4_000 + 1
         samples = self.texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), _sampled("text").alias("s"))
         samples = stored(samples.select("node", "s.*"), "samples").dropDuplicates(["node", "digest"])
         rows = rows.join(self.nodes.join(samples, ["node", "digest"]).select("node", "n", "registers", "sample"), "node")
