@@ -16,7 +16,8 @@ NAMES = [
     "robust_scale", "validate_report", "agg_missing", "audit_interval_mode", "audit_describe", "audit_hist", "adaptive_history",
     "adaptive_summary", "fault_summary", "qc_score", "wx_score", "fault_evidence", "severity", "health_scores", "pr_auc",
     "class_report", "ev_weights", "ev_ensemble", "src_csv", "sink_insert_ignore", "sink_registry_upsert", "sink_refresh_year",
-    "backfill_chunks", "norm_coord_repair", "norm_units", "st_dedup", "st_features", "st_latest",
+    "backfill_chunks", "norm_coord_repair", "norm_units", "st_dedup", "st_features", "st_latest", "norm_timestamp", "norm_timestamp_layouts",
+    "agg_dup_rows", "join_health", "fix_coords_update", "baseline_fit", "rule_drift", "st_ingest",
 ]
 
 

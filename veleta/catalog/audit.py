@@ -47,8 +47,10 @@ _add("validate_report", lambda s, d: A.validate_report(hourly_values(s, d)),
 _add("agg_missing", lambda s, d: A.agg_missing(C.obs(s, d)),
      f"WITH {C.OBS} " + " UNION ALL ".join(
          f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls, round(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*), 2) AS pct FROM obs" for c in COLS))
-_add("agg_dup_rows", lambda s, d: A.agg_dup_rows(hourly(s, d).select("station_id", "timestamp", "ground_truth_label")),
-     f"WITH {C.HOURLY} SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT station_id, timestamp, ground_truth_label FROM hourly)))::BIGINT AS duplicate_rows FROM hourly")
+# Whole rows; every seventh comes twice.
+_add("agg_dup_rows", lambda s, d: A.agg_dup_rows(C.obs(s, d).unionByName(C.obs(s, d).filter("seq % 7 = 0"))),
+     f"""WITH {C.OBS}, u AS (SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE seq % 7 = 0)
+     SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u)))::BIGINT AS duplicate_rows FROM u""")
 _add("agg_dup_keys", lambda s, d: A.agg_dup_keys(hourly(s, d)),
      f"""WITH {C.HOURLY}, g AS (SELECT count(*) AS n FROM hourly GROUP BY station_id, timestamp)
      SELECT sum(n - 1)::BIGINT AS beyond_first, (sum(n) FILTER (n > 1))::BIGINT AS all_members, round((sum(n) FILTER (n > 1)) * 100.0::DOUBLE / sum(n), 3) AS rate_pct FROM g""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veleta.fixed_values import PHYSICAL_BOUNDS, SENSORS
+from veleta.operators.baseline import baseline_fit
 from veleta.operators.dedup import dedup_first
 from veleta.operators.series import SeriesLayout
 from veleta.plans.features import FeatureModel, clean, fit_features
@@ -76,10 +77,18 @@ def train_rows(df: DataFrame, bounds: SplitBounds) -> DataFrame:
     return df.filter(F.col("timestamp") < time_literal(bounds.val_from))
 
 
+def grid_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    def make() -> DataFrame:
+        return baseline_fit(train_rows(grid_clean(spark, sf), grid_split(spark, sf)), grid_layout(spark, sf)).persist()
+
+    return once(spark, sf, "grid_baselines", make)
+
+
 def feature_model(spark: SparkSession, sf: str) -> FeatureModel:
     def make() -> FeatureModel:
         rows = grid_clean(spark, sf)
-        return fit_features(train_rows(rows, grid_split(spark, sf)), rows, grid_layout(spark, sf))
+        train = train_rows(rows, grid_split(spark, sf))
+        return fit_features(train, rows, grid_layout(spark, sf), baselines=grid_baselines(spark, sf))
 
     return once(spark, sf, "feature_model", make)
 

@@ -154,8 +154,7 @@ def _fixed(s, d):
         {"latitude": F.when(F.col("station_no") % 10 == 3, 0.0).when(F.col("station_no") == 4, 59.0).otherwise(F.col("latitude")),
          "longitude": F.when(F.col("station_no") % 10 == 3, 0.0).otherwise(F.col("longitude"))})
     fixed = store.fix_coords_update(rows, "AWS_07", 26.1175, 92.0835)
-    outside = store.out_of_country(fixed, COUNTRY_BOX).select("station_id", F.lit(True).alias("outside"))
-    return fixed.select("station_id", "seq", "latitude", "longitude").join(F.broadcast(outside), "station_id", "left").fillna({"outside": False})
+    return fixed.select("station_id", "seq", "latitude", "longitude", store.outside_box(COUNTRY_BOX).alias("outside"))
 
 
 _add("fix_coords_update", _fixed,
@@ -225,6 +224,26 @@ _add("norm_number", lambda s, d: C.rounded(_keyed(s, d).select("seq", parse_numb
 # "-888" is a marker as text; as a number it would be kept.
 _add("norm_timestamp", lambda s, d: _typed(s, d).select("seq", "timestamp"),
      f"WITH {C.OBS} SELECT seq, date_trunc('second', timestamp)::TIMESTAMP AS timestamp FROM obs WHERE NOT ({DROPPED})")
+# Every layout of the text, by turns: zones, fractions, one-digit fields, month names, a missing and an unreadable one.
+LAYOUTS = """
+CASE seq % 12
+WHEN 0 THEN date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'") WHEN 1 THEN date_format(timestamp + INTERVAL '5:30' HOUR TO MINUTE, "yyyy-MM-dd'T'HH:mm:ss'+05:30'")
+WHEN 2 THEN date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS") WHEN 3 THEN date_format(timestamp, 'dd-MM-yyyy H:mm') WHEN 4 THEN date_format(timestamp, 'd-M-yyyy HH:mm:ss')
+WHEN 5 THEN date_format(timestamp, 'dd MMM yyyy HH:mm') WHEN 6 THEN date_format(timestamp, 'd MMMM yyyy HH:mm:ss') WHEN 7 THEN date_format(timestamp, 'yyyy-M-d H:mm:ss')
+WHEN 8 THEN date_format(timestamp, 'd/M/yyyy') WHEN 9 THEN 'NA' WHEN 10 THEN '2024-13-45 99:00' ELSE date_format(timestamp, 'yyyy-MM-dd HH:mm:ss.SSSSSS') END
+"""
+
+
+def _layouts(s, d):
+    raw = C.obs(s, d).selectExpr("seq", f"map('sid', station_id, 'timestamp', {LAYOUTS}) AS raw")
+    typed = PL.normalize_records(raw, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return typed.select("seq", "timestamp", F.col("timestamp").isNull().alias("quarantined"))
+
+
+_add("norm_timestamp_layouts", _layouts,
+     f"""WITH {C.OBS}, t AS (SELECT seq, CASE WHEN seq % 12 IN (3, 5) THEN date_trunc('minute', timestamp) WHEN seq % 12 = 2 THEN date_trunc('millisecond', timestamp)
+     WHEN seq % 12 = 8 THEN date_trunc('day', timestamp) WHEN seq % 12 = 9 THEN TIMESTAMP '2024-02-01' WHEN seq % 12 = 10 THEN NULL WHEN seq % 12 = 11 THEN timestamp
+     ELSE date_trunc('second', timestamp) END::TIMESTAMP AS timestamp FROM obs) SELECT *, timestamp IS NULL AS quarantined FROM t""")
 _add("norm_station_name", lambda s, d: _typed(s, d).select("seq", "station_name"),
      f"""WITH {C.OBS} SELECT seq, CASE seq % 4 WHEN 0 THEN concat('Post ', station_no, CASE WHEN station_no % 6 = 0 THEN ' (JORHAT, ASSAM)' WHEN station_no % 3 = 0 THEN ' (JORHAT)' ELSE '' END)
      WHEN 2 THEN 'Nagaon' ELSE concat('IMD AWS ', station_id) END AS station_name FROM obs WHERE NOT ({DROPPED})""")

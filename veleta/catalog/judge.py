@@ -36,12 +36,12 @@ RULES = f"{C.BASELINE}, temporal AS ({C._temporal_sql('cleaned')}), based AS ({C
 
 
 def _grid_ruled(s, d):
-    m = C.feature_model(s, d)
-    rows = C.grid_clean(s, d)
+    """Rules read baselines only; no neighbours are sought."""
     from veleta.operators.baseline import baseline_apply
 
-    return R.apply_fault_rules(
-        baseline_apply(R.add_gap_hours(rows, m.layout), m.baselines, small_network=m.layout.small_network), m.layout)
+    layout = C.grid_layout(s, d)
+    rows = R.add_gap_hours(C.grid_clean(s, d), layout)
+    return R.apply_fault_rules(baseline_apply(rows, C.grid_baselines(s, d), small=layout.small_baselines), layout)
 
 
 _add("rule_freeze", lambda s, d: R.rule_freeze(C.grid_clean(s, d), C.grid_layout(s, d)).select(*KEYS, "rule_freeze"),
@@ -53,9 +53,9 @@ _add("rule_spike", lambda s, d: R.rule_spike(C.grid_clean(s, d), C.grid_layout(s
 def _drift(s, d):
     from veleta.operators.baseline import baseline_apply
 
-    m = C.feature_model(s, d)
-    z = baseline_apply(C.grid_clean(s, d), m.baselines, small_network=m.layout.small_network)
-    return R.rule_drift(z, m.layout).select(*KEYS, "rule_drift")
+    layout = C.grid_layout(s, d)
+    z = baseline_apply(C.grid_clean(s, d), C.grid_baselines(s, d), small=layout.small_baselines)
+    return R.rule_drift(z, layout).select(*KEYS, "rule_drift")
 
 
 _add("rule_drift", _drift, f"WITH {RULES} SELECT {KEY_SQL}, rule_drift FROM ruled")

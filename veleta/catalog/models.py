@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veleta.catalog import common as C
-from veleta.fixed_values import DETECTOR_SHORT
+from veleta.fixed_values import DETECTOR_SHORT, EXPECTED_TARGETS
 from veleta.operators import anomaly as A
 from veleta.operators import decision as D
 from veleta.operators import expected as E
@@ -31,10 +31,11 @@ def _candidate(name: str) -> C.Query:
     def query(s, d):
         def fit():
             val = _table(s, d).filter(F.col("split") == "val")
-            return E.ev_fit_select("temperature_c", _train(s, d), val, {name: E.CANDIDATES[name]})
+            return E.fit_all(_train(s, d), val, {name: E.CANDIDATES[name]})
 
         fitted = C.once(s, d, f"ev_{name}", fit)
-        return C.rounded(fitted.add_residuals(_table(s, d)).select(*KEYS, "expected_temperature_c", "temperature_c_residual"))
+        columns = [c for t in EXPECTED_TARGETS for c in (f"expected_{t}", f"{t}_residual")]
+        return C.rounded(E.apply_all(_table(s, d), fitted).select(*KEYS, *columns))
 
     return query
 
@@ -78,7 +79,7 @@ def _normalised(s, d):
     from veleta.operators.baseline import baseline_apply
 
     m = C.feature_model(s, d)
-    rows = baseline_apply(C.grid_clean(s, d), m.baselines, small_network=m.layout.small_network)
+    rows = baseline_apply(C.grid_clean(s, d), m.baselines, small=m.layout.small_baselines)
     raw = rows.select(*KEYS, *[F.abs(F.col(c)).alias(n) for n, c in STAND_INS.items()])
     row = C.once(s, d, "stand_in_limits", lambda: quantiles(raw, [], list(STAND_INS), [0.05, 0.95], True).first())
     return raw.select(*KEYS, *[A.ad_normalize(F.col(n), row[f"{n}_q0"], row[f"{n}_q1"]).alias(n) for n in STAND_INS])

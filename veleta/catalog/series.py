@@ -81,7 +81,7 @@ Z3 = [f"{c}_{k}" for c in SENSORS for k in ("baseline", "deviation", "robust_z")
 
 def _joined_baseline(s, d):
     m = C.feature_model(s, d)
-    rows = B.join_baseline(C.grid(s, d), m.baselines, m.layout.small_network)
+    rows = B.join_baseline(C.grid(s, d), m.baselines, m.layout.small_baselines)
     return _columns(rows, [f"{c}_{k}" for c in SENSORS for k in ("median", "mad")])
 
 
@@ -105,14 +105,13 @@ _add("join_neighbor_obs", _neighbour_obs,
 
 
 def _join_health(s, d):
-    early = FL.filter_time_station(C.grid(s, d), None, None, "2024-01-01 12:00:00")
-    return C.rounded(join_health(C.grid(s, d), health_scores(early), True).select(*KEYS, "sensor_health", "sensor_health_status"))
+    return C.rounded(join_health(C.grid(s, d), health_scores(C.grid(s, d)), True).select(*KEYS, "sensor_health", "sensor_health_status"))
 
 
 _add("join_health", _join_health,
      f"""WITH {C.GRID}, r AS (SELECT station_id, avg((ground_truth_label = 'SENSOR_FAULT')::INT) AS f,
      avg((temperature_c IS NULL OR relative_humidity_pct IS NULL OR pressure_hpa IS NULL OR wind_speed_kmh IS NULL OR rainfall_mm IS NULL)::INT) AS m
-     FROM grid WHERE timestamp <= '2024-01-01 12:00:00' GROUP BY 1), h AS (SELECT station_id, round_even(100 * (1 - (0.40::DOUBLE * f + 0.15::DOUBLE * m)), 1) AS hs FROM r)
+     FROM grid GROUP BY 1), h AS (SELECT station_id, round_even(100 * (1 - (0.40::DOUBLE * f + 0.15::DOUBLE * m)), 1) AS hs FROM r)
      SELECT {KEY_SQL.replace('station_id', 'g.station_id')}, coalesce(hs, 100.0::DOUBLE) + 0.0::DOUBLE AS sensor_health,
      CASE WHEN coalesce(hs, 100) >= 80 THEN 'HEALTHY' WHEN hs >= 50 THEN 'NEEDS_ATTENTION' WHEN hs >= 20 THEN 'DEGRADED' ELSE 'CRITICAL' END AS sensor_health_status
      FROM grid g LEFT JOIN h USING (station_id)""".replace("g.station_id, timestamp", "station_id, timestamp"))
@@ -199,13 +198,13 @@ CAL = ["hour", "day_of_week", "day_of_year", "month"]
 _add("feat_calendar", lambda s, d: T.add_calendar(C.obs(s, d)).select(*KEYS, *CAL), _column_sql(OBS_TEMPORAL, "temporal", CAL, []))
 
 # --- 2.9 baselines -----------------------------------------------------------------------
-_add("baseline_fit", lambda s, d: C.rounded(C.feature_model(s, d).baselines),
+_add("baseline_fit", lambda s, d: C.rounded(C.grid_baselines(s, d)),
      f"WITH {C.BASELINE} " + C.rounded_sql(f"SELECT station_id, hour, {', '.join(MM)} FROM base", MM))
 
 
 def _based(s, d):
     m = C.feature_model(s, d)
-    return B.baseline_apply(C.grid_clean(s, d), m.baselines, small_network=m.layout.small_network)
+    return B.baseline_apply(C.grid_clean(s, d), m.baselines, small=m.layout.small_baselines)
 
 
 _add("baseline_apply", lambda s, d: _columns(_based(s, d), Z3), f"WITH {C.BASED} " + C.rounded_sql(f"SELECT {KEY_SQL}, {', '.join(Z3)} FROM based", Z3))

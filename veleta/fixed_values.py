@@ -132,21 +132,9 @@ REGIONS = [
 ]
 CENTRE = (20.5937, 78.9629)
 
-# --- fixed values: timestamp layouts, day first ----------------------------------------
-TIMESTAMP_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy HH:mm",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "yyyy-MM-dd",
-    "dd-MM-yyyy",
-    "dd/MM/yyyy",
+# --- fixed values: English months ------------------------------------------------------
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 ]
 
 # --- fixed values: model weights and scales --------------------------------------------

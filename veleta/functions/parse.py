@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veleta.fixed_values import MISSING_NUMBERS, MISSING_TEXTS, TIMESTAMP_FORMATS
+from veleta.fixed_values import MISSING_NUMBERS, MISSING_TEXTS, MONTHS
+from veleta.functions.texts import let
 
 
 def is_missing_text(text: Column) -> Column:
@@ -27,19 +27,27 @@ def parse_number(text: Column) -> Column:
     return F.when(usable, number)
 
 
-def _shape(layout: str) -> str:
-    """Regular expression of the digits and separators of a layout."""
-    return "^" + re.sub("[yMdHmsS]", "[0-9]", layout.replace("'", "")) + "$"
+_CLOCK = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+_ISO = rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}([ T]{_CLOCK} ?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?)?$"
+_DAY_FIRST = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})"
+_NAMED = r"^([0-9]{1,2})[ -]([A-Za-z]+)[ -]([0-9]{4})"
 
 
-def parse_timestamp(text: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First layout that fits, day before month; null when none does.
+def parse_timestamp(text: Column) -> Column:
+    """Time in UTC without a zone; null when no layout fits.
 
-    The shape of the text picks the one layout to parse with, as failed parses are costly.
+    A date is year first, or day before month, or has an English month name; fields may have one digit. A time of day may
+    follow, with seconds, a fraction, and after year-first dates a zone. Times without a zone are in UTC.
     """
     trimmed = F.trim(text)
-    layout = F.coalesce(*[F.when(trimmed.rlike(_shape(f)), F.lit(f)) for f in formats])
-    return F.try_to_timestamp(trimmed, layout).cast("timestamp_ntz")
+    name = F.lower(F.regexp_extract(trimmed, _NAMED, 2))
+    month = F.coalesce(*[F.when((name == m) | (name == m[:3]), F.lit(str(i + 1))) for i, m in enumerate(MONTHS)])
+    named = F.concat(
+        F.regexp_extract(trimmed, _NAMED, 3), F.lit("-"), month, F.lit("-"), F.regexp_extract(trimmed, _NAMED, 1),
+        F.regexp_replace(trimmed, _NAMED, ""),
+    )
+    iso = F.when(trimmed.rlike(_NAMED), named).otherwise(F.regexp_replace(trimmed, _DAY_FIRST, "$3-$2-$1"))
+    return F.when(iso.rlike(_ISO), iso).try_cast("timestamp").cast("timestamp_ntz")
 
 
 def parse_epoch(text: Column) -> Column:
@@ -57,6 +65,11 @@ def first_present(raw: Column, names: Sequence[str]) -> Column:
     return out
 
 
+def number_of(raw: Column, names: Sequence[str]) -> Column:
+    """Number under the first name present; the map is searched once."""
+    return let(first_present(raw, names), parse_number)
+
+
 def first_usable(raw: Column, names: Sequence[str]) -> Column:
     """First value that is not a missing-value marker."""
     return F.coalesce(*[usable_text(raw[n]) for n in names])

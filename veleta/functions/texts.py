@@ -52,6 +52,11 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Fix the columns computed so far as columns, and count the rows that pass.
 

@@ -1,9 +1,9 @@
 """Anomaly ensemble: six detectors, training-based normalisation, weighted score, consensus.
 
-Fits read bounded samples chosen by hash order (4,000 rows for the quadratic detectors, 256 rows
-for each of 100 trees) or distributed moments of the whole training table. Scoring is one Arrow
-pass over the rows with the fitted arrays broadcast; their size depends on the sample sizes and
-the number of features, not on the data.
+Fits are distributed steps over the whole training table: moments for the covariance detectors, sums of sub-gradients for
+the one-class SVM, for each isolation tree its own 256 rows out of all, and joins for the local outlier factor. The limits of
+normal scores come from every training row. Scoring is one Arrow pass over the rows with the fitted arrays broadcast, whose
+size depends on the number of features, and one join for the local outlier factor.
 """
 
 from __future__ import annotations
@@ -22,22 +22,16 @@ from pyspark.sql import functions as F
 
 from veleta.fixed_values import DETECTOR_SHORT, DETECTOR_WEIGHTS
 from veleta.functions.texts import clip, staged
+from veleta.operators import local_outliers
 from veleta.operators.feature_prep import Scaling, anomaly_features, feature_select, fit_scaling
 from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
 
 log = logging.getLogger(__name__)
-SAMPLE_ROWS = 4_000
 TREES, TREE_ROWS = 100, 256
-NEIGHBOURS = 5
 FOURIER, NU, SVM_STEPS = 128, 0.05, 30
 SUPPORT, C_STEPS = 0.8, 10
 
 
-def hash_sample(df: DataFrame, rows: int) -> DataFrame:
-    """A repeatable sample: the rows with the smallest key hashes."""
-    return df.orderBy(F.xxhash64("station_id", "timestamp", "seq"), "station_id", "timestamp", "seq").limit(rows)
-
-
 # --- isolation forest --------------------------------------------------------------------
 def average_path(n):
     """Mean path length of an unsuccessful search among ``n`` rows."""
@@ -76,20 +70,20 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit_isolation_forest(train: DataFrame) -> dict:
-    """Every sampled row serves as many trees as it takes to give each tree its rows."""
-    sample = hash_sample(train.select("station_id", "timestamp", "seq", "features"), TREES * TREE_ROWS).persist()
-    n = sample.count()
-    copies = int(min(TREES, np.ceil(TREES * TREE_ROWS / max(n, 1))))
-    start = F.pmod(F.xxhash64("seq", "station_id"), F.lit(TREES)).cast("int")
-    step = max(1, TREES // copies)
-    spread = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda j: F.pmod(start + j * step, F.lit(TREES)))
-    assigned = sample.select(
-        "features", "seq", F.explode(F.array_distinct(spread)).alias("tree")
-    ).withColumn("rank", F.xxhash64("seq", "tree"))
+    """Every tree draws its rows from the whole table: those with the smallest hashes for that tree.
+
+    A row is offered to a tree when its hash lies below a threshold that leaves about twice the rows a tree takes, so
+    the table is read once and few rows travel. A table too small for that offers every row to every tree.
+    """
+    n = train.count()
+    share = min(1.0, (2.0 * TREE_ROWS + 200.0) / max(n, 1))
+    below = int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1
+    draws = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64("seq", "station_id", "timestamp", t) <= F.lit(below))
+    offered = train.select("features", "seq", "station_id", "timestamp", F.explode(draws).alias("tree"))
+    offered = offered.withColumn("rank", F.xxhash64("seq", "station_id", "timestamp", "tree"))
     keep = Window.partitionBy("tree").orderBy("rank")
-    chosen = assigned.withColumn("_n", F.row_number().over(keep)).filter(F.col("_n") <= TREE_ROWS).drop("_n")
-    grown = chosen.groupBy("tree").applyInPandas(_grow, TREE_SCHEMA).collect()
-    sample.unpersist()
+    chosen = offered.withColumn("_n", F.row_number().over(keep)).filter(F.col("_n") <= TREE_ROWS).select("tree", "rank", "features")
+    grown = chosen.groupBy("tree").applyInPandas(_grow, TREE_SCHEMA).collect()  # TREES rows of bounded size
     trees = [
         {k: np.array(r[k]) for k in ("feature", "cut", "left", "right", "path")} for r in sorted(grown, key=lambda r: r["tree"])
     ]
@@ -111,59 +105,12 @@ def score_isolation_forest(model: dict, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-(total / len(model["trees"])) / max(float(average_path(model["size"])), 1e-9))
 
 
-# --- local outlier factor ----------------------------------------------------------------
-def nearest(x: np.ndarray, reference: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and indices of the k nearest reference rows, a thousand rows at a time."""
-    dist, index = np.empty((len(x), k)), np.empty((len(x), k), dtype=int)
-    norms = (reference**2).sum(axis=1)
-    for i in range(0, len(x), 1000):
-        block = x[i:i + 1000]
-        d2 = np.maximum((block**2).sum(axis=1)[:, None] + norms - 2.0 * block @ reference.T, 0.0)
-        near = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        found = np.take_along_axis(d2, near, axis=1)
-        order = np.argsort(found, axis=1)
-        dist[i:i + 1000] = np.sqrt(np.take_along_axis(found, order, axis=1))
-        index[i:i + 1000] = np.take_along_axis(near, order, axis=1)
-    return dist, index
-
-
-def fit_lof(sample: DataFrame, reference: np.ndarray, k: int = NEIGHBOURS) -> dict:
-    """Neighbour search of the reference rows runs in tasks; densities need k numbers per row."""
-    spark = sample.sparkSession
-    k = min(k, len(reference) - 1)
-    shared = spark.sparkContext.broadcast(reference)
-
-    def search(batches):
-        for pdf in batches:
-            x = shared.value[pdf["row"].to_numpy()]
-            dist, index = nearest(x, shared.value, k + 1)
-            # A row is its own nearest neighbour; drop it, or the last one among equal rows.
-            own = index == pdf["row"].to_numpy()[:, None]
-            own[~own.any(axis=1), -1] = True
-            yield pd.DataFrame(
-                {"row": pdf["row"], "dist": list(dist[~own].reshape(-1, k)), "near": list(index[~own].reshape(-1, k))}
-            )
-
-    rows = spark.range(len(reference), numPartitions=8).withColumnRenamed("id", "row")
-    found = rows.mapInPandas(search, "row LONG, dist ARRAY<DOUBLE>, near ARRAY<LONG>").toPandas().sort_values("row")
-    dist, near = np.stack(found["dist"].to_numpy()), np.stack(found["near"].to_numpy())
-    reach = dist[:, -1]
-    density = 1.0 / (np.maximum(dist, reach[near]).mean(axis=1) + 1e-10)
-    return {"reference": reference, "reach": reach, "density": density, "k": k}
-
-
-def score_lof(model: dict, x: np.ndarray) -> np.ndarray:
-    dist, near = nearest(x, model["reference"], model["k"])
-    own = 1.0 / (np.maximum(dist, model["reach"][near]).mean(axis=1) + 1e-10)
-    return model["density"][near].mean(axis=1) / own
-
-
 # --- one-class SVM on random Fourier features --------------------------------------------
 def fourier(model: dict, x: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / FOURIER) * np.cos(x @ model["waves"] + model["shift"])
 
 
-def fit_ocsvm(sample: DataFrame, width: int, variance: float) -> dict:
+def fit_ocsvm(train: DataFrame, width: int, variance: float) -> dict:
     """nu-one-class hinge by distributed sub-gradient steps; a step returns one row per task."""
     rng = np.random.default_rng(42)
     gamma = 1.0 / max(width * variance, 1e-12)
@@ -171,8 +118,8 @@ def fit_ocsvm(sample: DataFrame, width: int, variance: float) -> dict:
         "waves": rng.normal(0.0, np.sqrt(2.0 * gamma), (width, FOURIER)),
         "shift": rng.uniform(0.0, 2.0 * np.pi, FOURIER),
     }
-    spark = sample.sparkSession
-    mapped = sample.select("features").mapInPandas(
+    spark = train.sparkSession
+    mapped = train.select("features").mapInPandas(
         lambda it: (pd.DataFrame({"z": list(fourier(model, np.stack(p["features"].to_numpy())))}) for p in it if len(p)),
         "z ARRAY<DOUBLE>",
     ).persist()
@@ -238,12 +185,12 @@ def score_mahalanobis(model: dict, x: np.ndarray) -> np.ndarray:
     return np.sqrt(squared_distances(model, x))
 
 
-def fit_elliptic(sample: DataFrame) -> dict:
+def fit_elliptic(train: DataFrame, rows: int) -> dict:
     """Concentration steps: moments of the 80 % nearest rows until the determinant settles."""
-    model, last = fit_mahalanobis(sample), np.inf
+    model, last = fit_mahalanobis(train), np.inf
     for _ in range(C_STEPS):
-        with_distance = sample.withColumn("_d", _distance_udf(sample, model)(F.col("features"))).persist()
-        cut = with_distance.agg(F.percentile("_d", F.lit(SUPPORT))).first()[0]
+        with_distance = train.withColumn("_d", _distance_udf(train, model)(F.col("features"))).persist()
+        cut = quantiles(with_distance, [], ["_d"], [SUPPORT], rows <= SMALL_GROUP_ROWS).first()["_d_q0"]
         mean, cov = vector_moments(with_distance.filter(F.col("_d") <= cut))
         cov = cov + np.eye(len(mean)) * 1e-5
         size = np.linalg.slogdet(cov)[1]
@@ -268,7 +215,6 @@ def _distance_udf(df: DataFrame, model: dict):
 # --- the ensemble ------------------------------------------------------------------------
 SCORERS = {
     "isolation_forest": score_isolation_forest,
-    "lof": score_lof,
     "one_class_svm": score_ocsvm,
     "elliptic_envelope": squared_distances,
     "mahalanobis": score_mahalanobis,
@@ -307,17 +253,22 @@ def ad_consensus(scores: dict[str, Column]) -> dict[str, Column]:
 @dataclass
 class AnomalyEnsemble:
     scaling: Scaling
-    models: dict[str, dict]
+    models: dict[str, object]
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
 
     @property
     def active(self) -> list[str]:
         return [n for n in DETECTOR_WEIGHTS if n in self.models or n == "robust_zscore"]
 
     def raw_scores(self, df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-        """Unnormalised scores as ``_raw_<detector>``, all in one Arrow pass."""
+        """Unnormalised scores as ``_raw_<detector>``; station, timestamp and seq are unique."""
         names = [n for n in (names or self.active) if n in self.models]
         out = df if "features" in df.columns else self.scaling.with_array(df)
+        if "lof" in names:
+            out = out.join(self.models["lof"].score(out), local_outliers.KEYS, "left")
+            out = out.withColumn("_raw_lof", F.coalesce("_raw_lof", F.lit(1.0)))  # as dense as its neighbours
+            names.remove("lof")
         if names:
             shared = df.sparkSession.sparkContext.broadcast({n: self.models[n] for n in names})
 
@@ -348,7 +299,7 @@ class AnomalyEnsemble:
         return df.sparkSession.createDataFrame(entries, "detector STRING, active BOOLEAN, weight DOUBLE, threshold DOUBLE")
 
 
-def fit_anomaly(train: DataFrame, detectors: Sequence[str] = tuple(SCORERS)) -> AnomalyEnsemble:
+def fit_anomaly(train: DataFrame, detectors: Sequence[str] = ("lof", *SCORERS)) -> AnomalyEnsemble:
     """Fit on a persisted training feature table. A detector that fails is left out."""
     from pyspark.ml.functions import array_to_vector
 
@@ -358,36 +309,40 @@ def fit_anomaly(train: DataFrame, detectors: Sequence[str] = tuple(SCORERS)) ->
     slim = scaling.with_array(train.select("station_id", "timestamp", "seq", *dict.fromkeys([*cols, *z_cols])))
     ready = slim.select("station_id", "timestamp", "seq", *z_cols, "features").persist()
     ready = ready.withColumn("vector", array_to_vector("features"))
-    sample = hash_sample(ready, SAMPLE_ROWS).repartition(8, "seq").persist()
-    reference = np.stack(sample.select("features").toPandas()["features"].to_numpy())  # at most SAMPLE_ROWS rows
     fits = {
         "isolation_forest": lambda: fit_isolation_forest(ready),
-        "lof": lambda: fit_lof(sample, reference),
-        "one_class_svm": lambda: fit_ocsvm(sample, len(cols), float(reference.var())),
-        "elliptic_envelope": lambda: fit_elliptic(sample),
+        "lof": lambda: local_outliers.fit_lof(ready, scaling.rows, len(cols)),
+        "one_class_svm": lambda: fit_ocsvm(ready, len(cols), entry_variance(ready)),
+        "elliptic_envelope": lambda: fit_elliptic(ready, scaling.rows),
         "mahalanobis": lambda: fit_mahalanobis(ready),
     }
-    models = {}
+    models, failed = {}, {}
     for name in detectors:
+        started = time.perf_counter()
         try:
-            started = time.perf_counter()
             models[name] = fits[name]()
-            log.info("detector %s fitted in %.1f s", name, time.perf_counter() - started)
-        except Exception as error:  # noqa: BLE001 - the others go on without it
-            log.warning("detector %s failed: %s", name, error)
-    fitted = AnomalyEnsemble(scaling, models)
-    on_sample = [n for n in models if n != "mahalanobis"]
-    fitted.limits.update(_limits(fitted.raw_scores(sample, on_sample), on_sample, SAMPLE_ROWS))
-    on_train = [n for n in fitted.active if n not in on_sample]
-    fitted.limits.update(_limits(fitted.raw_scores(ready, on_train), on_train, scaling.rows))
-    sample.unpersist()
+        except (np.linalg.LinAlgError, ValueError) as error:  # the data do not allow this fit; lost tasks raise
+            log.warning("detector %s left out: %s", name, error)
+            failed[name] = str(error)
+        log.info("detector %s took %.1f s", name, time.perf_counter() - started)
+    fitted = AnomalyEnsemble(scaling, models, failed=failed)
+    fitted.limits.update(_limits(fitted.raw_scores(ready), fitted.active, scaling.rows))
     ready.unpersist()
     return fitted
 
 
+def entry_variance(train: DataFrame) -> float:
+    """Variance of all entries of the feature arrays, taken together."""
+    width = F.size("features")
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    squares = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)
+    row = train.agg(F.sum(total).alias("s"), F.sum(squares).alias("q"), F.sum(width).alias("n")).first()
+    return max(row["q"] / row["n"] - (row["s"] / row["n"]) ** 2, 0.0) if row["n"] else 0.0
+
+
 def _limits(scored: DataFrame, names: list[str], rows: int) -> dict[str, tuple[float, float]]:
     if not names:
         return {}
     cols = [f"_raw_{n}" for n in names]
-    row = quantiles(scored, [], cols, [0.05, 0.95], rows <= SMALL_GROUP_ROWS).first()
+    row = quantiles(scored, [], cols, [0.05, 0.95], rows * len(cols) <= SMALL_GROUP_ROWS).first()
     return {n: (float(row[f"_raw_{n}_q0"]), float(row[f"_raw_{n}_q1"])) for n in names}

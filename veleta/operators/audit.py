@@ -35,10 +35,20 @@ def agg_missing(df: DataFrame) -> DataFrame:
     return _rows_of(row, "column_name", [(c, [F.col(c), share(c)]) for c in df.columns], ["nulls", "pct"])
 
 
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows that occur more than once, with their number ``_n``.
+
+    Two 64-bit hashes per row are counted first; whole rows are compared, and shuffled, only where both repeat.
+    """
+    hashed = df.withColumns({"_h1": F.xxhash64(*df.columns), "_h2": F.xxhash64(F.lit(1), *df.columns)})
+    twice = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    suspects = hashed.join(twice, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    return suspects.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+
+
 def agg_dup_rows(df: DataFrame) -> DataFrame:
     """Fully repeated rows beyond the first of each."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return repeated_rows(df).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def agg_dup_keys(df: DataFrame) -> DataFrame:
@@ -67,33 +77,33 @@ def agg_violations(df: DataFrame, bounds: dict = PHYSICAL_BOUNDS) -> DataFrame:
 def validate_report(df: DataFrame, bounds: dict = PHYSICAL_BOUNDS) -> DataFrame:
     """One row; invalid only when a required column is missing.
 
-    Equal rows share a key, so key counts and row counts come from two nested pre-aggregations.
+    Nulls, bounds and failures are one map-side aggregate; repeated keys and rows are counted apart, and the three
+    one-row results are put together.
     """
     absent = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     present = [c for c in bounds if c in df.columns]
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
     key = [c for c in KEY if c in df.columns]
-    keyed = rows.groupBy(*key).agg(
-        F.sum(n).alias("_n"),
-        F.sum(n - 1).alias("_repeats"),
-        *[F.sum(F.when(F.col(c).isNull(), n).otherwise(0)).alias(f"_null_{c}") for c in df.columns],
-        *[F.sum(F.when(outside(c, bounds[c]), n).otherwise(0)).alias(f"_bad_{c}") for c in present],
+    facts = df.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in df.columns],
+        *[F.count_if(outside(c, bounds[c])).alias(f"_bad_{c}") for c in present],
     )
+    keys = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_keys"))
+    parts = facts.unionByName(keys, True).unionByName(agg_dup_rows(df), True)
+    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     texts = [
         F.when(
-            F.sum(f"_bad_{c}") > 0,
-            F.format_string(f"{c} has %d values outside [{bounds[c][0]}, {bounds[c][1]}]", F.sum(f"_bad_{c}")),
+            F.col(f"_bad_{c}") > 0,
+            F.format_string(f"{c} has %d values outside [{bounds[c][0]}, {bounds[c][1]}]", F.col(f"_bad_{c}")),
         )
         for c in present
     ]
-    return keyed.agg(
+    return row.select(
         F.lit(", ".join(absent)).alias("missing_columns"),
-        reduce(lambda a, b: a + b, [F.sum(f"_null_{c}") for c in df.columns]).alias("missing_values"),
-        F.sum("_repeats").alias("duplicate_rows"),
-        F.sum(F.col("_n") - 1).alias("duplicate_station_timestamps"),
-        (F.sum("_null_timestamp") if "timestamp" in df.columns else F.lit(0)).alias("timestamp_parse_failures"),
-        *[F.sum(f"_bad_{c}").alias(f"violations_{c}") for c in present],
+        reduce(lambda a, b: a + b, [F.col(f"_null_{c}") for c in df.columns]).alias("missing_values"),
+        "duplicate_rows",
+        F.col("_keys").alias("duplicate_station_timestamps"),
+        (F.col("_null_timestamp") if "timestamp" in df.columns else F.lit(0)).alias("timestamp_parse_failures"),
+        *[F.col(f"_bad_{c}").alias(f"violations_{c}") for c in present],
         F.array_join(F.array_compact(F.array(*texts)), "; ").alias("warnings"),
         F.lit(not absent).alias("is_valid"),
     )
@@ -133,10 +143,6 @@ def audit_shape(df: DataFrame) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
-
-
 def _intervals(df: DataFrame, layout: SeriesLayout | None) -> DataFrame:
     layout = layout or SeriesLayout.measure(df)
     order_only = df.select(STATION, *ORDER)

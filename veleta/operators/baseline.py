@@ -29,7 +29,7 @@ def baseline_fit(
         *GROUP, *[F.col(f"{s}_q0").alias(f"{s}_median") for s in names]
     )
     # At most 24 rows per station.
-    build = F.broadcast(medians) if layout.small_network else medians
+    build = F.broadcast(medians) if layout.small_baselines else medians
     deviations = rows.join(build, GROUP).select(
         *GROUP, *[F.abs(F.col(s) - F.col(f"{s}_median")).alias(s) for s in names]
     )
@@ -39,18 +39,18 @@ def baseline_fit(
     return medians.join(mads, GROUP)
 
 
-def join_baseline(df: DataFrame, baselines: DataFrame, small_network: bool = False) -> DataFrame:
+def join_baseline(df: DataFrame, baselines: DataFrame, small: bool = False) -> DataFrame:
     """Left lookup on (station, hour); unknown stations keep nulls."""
     if "hour" not in df.columns:
         df = df.withColumn("hour", F.hour("timestamp"))
-    return df.join(F.broadcast(baselines) if small_network else baselines, GROUP, "left")
+    return df.join(F.broadcast(baselines) if small else baselines, GROUP, "left")
 
 
 def baseline_apply(
-    df: DataFrame, baselines: DataFrame, sensors: Sequence[str] | None = None, small_network: bool = False
+    df: DataFrame, baselines: DataFrame, sensors: Sequence[str] | None = None, small: bool = False
 ) -> DataFrame:
     names = present_sensors(df, sensors)
-    joined = join_baseline(df, baselines, small_network)
+    joined = join_baseline(df, baselines, small)
     out = {}
     for s in names:
         deviation = F.col(source_column(df, s)) - F.col(f"{s}_median")

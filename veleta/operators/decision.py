@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,7 @@ class DecisionClassifier:
     model: object | None = None
     best: str = ""
     macro_f1: dict[str, float] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``predicted_class`` and ``proba`` (array in class order)."""
@@ -113,8 +115,9 @@ def fit_decision(
         try:
             model = make(rows).fit(ready)
             f1 = _macro_f1(fitted._apply(model, val), label, fitted.classes)
-        except Exception as error:  # noqa: BLE001 - a failing candidate must not stop the others
-            log.warning("candidate %s failed: %s", name, error)
+        except (IllegalArgumentException, ValueError) as error:  # the data do not allow this fit; lost tasks raise
+            log.warning("candidate %s left out: %s", name, error)
+            fitted.failed[name] = str(error)
             continue
         fitted.macro_f1[name] = f1
         if not fitted.best or f1 > fitted.macro_f1[fitted.best]:

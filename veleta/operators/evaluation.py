@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,8 +118,8 @@ def brier(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
 def pr_auc(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
     """One-vs-rest area under precision-recall by the trapezoid over score thresholds.
 
-    Rows collapse to distinct scores first; running totals go through 4,096 score bins, so no
-    task orders the whole curve. The curve ends at recall 0, precision 1.
+    Rows collapse to distinct scores first; running totals go through bins that follow the scores,
+    so no task orders the whole curve. The curve ends at recall 0, precision 1.
     """
     counts = (
         _one_vs_rest(df, actual, scores)
@@ -129,9 +128,8 @@ def pr_auc(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
         # Highest score first: order on the negated score.
         .withColumn("order", -F.col("score"))
     )
-    bin_ = F.floor(F.col("order") * 4096)
     totals = counts.groupBy("class").agg(F.sum("hits").alias("positives")).filter(F.col("positives") > 0)
-    curve = with_running_totals(counts, ["class"], "order", bin_, ["hits", "rows"]).join(
+    curve = with_running_totals(counts, ["class"], "order", ["hits", "rows"]).join(
         F.broadcast(totals), "class"
     )
     # A threshold and the next higher one differ by this score's own hits and rows, so both
@@ -168,7 +166,3 @@ def ev_weights(metrics: DataFrame) -> DataFrame:
     total, models = F.sum("_raw").over(every), F.count(F.lit(1)).over(every)
     weight = F.when(total > 0, F.col("_raw") / total).otherwise(F.lit(1.0) / models)
     return metrics.withColumn("_raw", raw).withColumn("weight", F.round(weight, 4)).drop("_raw")
-
-
-def mean_of(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns) / len(columns)

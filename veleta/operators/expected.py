@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +104,7 @@ class ExpectedValues:
     models: dict[str, object] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     metrics: dict[str, dict[str, float]] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
 
     @property
     def best(self) -> str | None:
@@ -163,8 +165,9 @@ def ev_fit_select(
     for name, make in (candidates or CANDIDATES).items():
         try:
             fitted.models[name] = make(ready).fit(ready)
-        except Exception as error:  # noqa: BLE001 - a failing candidate must not stop the others
-            log.warning("candidate %s of %s failed: %s", name, target, error)
+        except (IllegalArgumentException, ValueError) as error:  # the data do not allow this fit; lost tasks raise
+            log.warning("candidate %s of %s left out: %s", name, target, error)
+            fitted.failed[name] = str(error)
             fitted.metrics[name] = {"mae": 999.0, "rmse": 999.0, "r2": -99.0}
     ready.unpersist()
     if not fitted.models:

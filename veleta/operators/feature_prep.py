@@ -49,7 +49,9 @@ def expected_features(df: DataFrame, target: str) -> list[str]:
 
 
 def decision_features(df: DataFrame) -> list[str]:
-    return [c for c in numeric_columns(df) if c not in NEVER | LABELS and not c.startswith("qf_")]
+    """Numbers and flags: rule results and the check's verdict count as 0 and 1."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    return [c for c in names if c not in NEVER | LABELS and not c.startswith("qf_")]
 
 
 def filled_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -87,19 +89,15 @@ class Scaling:
         return df.withColumn(out, F.array(*[self.scaled(df, c) for c in self.cols]))
 
 
-def scaling_quantiles(train: DataFrame, cols: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Exact quartiles of every feature in one row: ``<c>_q0`` .. ``<c>_q2``."""
-    rows = train.count() if rows is None else rows
-    return quantiles(train, [], cols, [0.25, 0.5, 0.75], rows <= SMALL_GROUP_ROWS)
-
-
 def fit_scaling(train: DataFrame, cols: Sequence[str], rows: int | None = None) -> Scaling:
     """Quartiles are taken of the median-filled column, as imputation precedes scaling."""
     cols = list(cols)
     rows = train.count() if rows is None else rows
-    half = quantiles(train, [], cols, [0.5], rows <= SMALL_GROUP_ROWS).first()
+    small = rows * max(len(cols), 1) <= SMALL_GROUP_ROWS
+    train = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    half = quantiles(train, [], cols, [0.5], small).first()
     median = {c: float(half[f"{c}_q0"]) for c in cols}
-    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(median[c])).alias(c) for c in cols])
-    quart = quantiles(filled, [], cols, [0.25, 0.75], rows <= SMALL_GROUP_ROWS).first()
+    filled = train.select(*[F.coalesce(F.col(c), F.lit(median[c])).alias(c) for c in cols])
+    quart = quantiles(filled, [], cols, [0.25, 0.75], small).first()
     width = {c: (float(quart[f"{c}_q1"]) - float(quart[f"{c}_q0"])) or 1.0 for c in cols}
     return Scaling(cols, median, width, rows)

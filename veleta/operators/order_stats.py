@@ -1,60 +1,61 @@
 """Exact order statistics and running totals without a single-task sort.
 
-Values are counted per distinct value first (map-side combine), a coarse monotone bin gives
-running totals over bins, and only the bins that hold a wanted rank are ordered. No task ever
-sees a whole group; the plain ``percentile`` aggregate is used only where the caller has
-checked that its groups are small.
+Values are counted per distinct value first (map-side combine). They are then dealt to bins of equal width
+between the smallest and the largest value, and each bin to such bins of its own range again, so
+that bins follow the data at any scale of values. Only the bins that hold a wanted rank are kept, and only these
+are ordered. No task sees a whole group; the plain ``percentile`` aggregate is used only where the caller
+has checked that its groups are small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest group whose distinct values may sit in one aggregation buffer.
+# Distinct values that may sit in the buffers of one aggregation task, all columns together.
 SMALL_GROUP_ROWS = 4_000_000
+BINS = 4096
 
 
-def magnitude_bin(value: Column) -> Column:
-    """Monotone bin of any finite double: fine near zero, about 1.5 % wide elsewhere.
+def _bin(value: str) -> Column:
+    """Bin of equal width between the columns ``_lo`` and ``_hi``."""
+    place = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)
+    return F.when(F.col("_hi") > F.col("_lo"), F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
 
-    The sign is taken out first: for large negative arguments the built-in loses its order.
-    """
-    return F.floor(F.signum(value) * F.asinh(F.abs(value) * 1000.0) * 64.0)
 
+def _with_range(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add the smallest and largest value of the group."""
+    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    if keys:
+        return counts.join(span, list(keys))
+    lo, hi = span.first()  # one row
+    return counts.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)})
 
-def with_running_totals(
-    counts: DataFrame, keys: Sequence[str], value: str, bin_: Column, measures: Sequence[str]
-) -> DataFrame:
-    """Add ``<m>_before``: total of ``m`` over smaller values of the same group.
 
-    Two levels: totals per bin are summed across bins, rows are summed inside their bin.
+def with_running_totals(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+    """Add ``<m>_before``: total of ``m`` over smaller values of the same group; ``value`` is numeric.
+
+    Totals of at most BINS bins are summed across bins at each of two levels, the second within the range of
+    a bin of the first; rows are summed inside their bin.
     """
-    keys = list(keys)
-    binned = counts.withColumn("_bin", bin_)
-    across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        binned.groupBy(*keys, "_bin")
-        .agg(*[F.sum(m).alias(f"_{m}_bin") for m in measures])
-        .select(
-            *keys,
-            "_bin",
-            *[F.coalesce(F.sum(f"_{m}_bin").over(across), F.lit(0)).alias(f"_{m}_off") for m in measures],
-        )
-    )
-    joined = binned.join(offsets, [*keys, "_bin"])
-    return joined.select(
-        *counts.columns,
-        *[
-            (F.col(f"_{m}_off") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_before")
-            for m in measures
-        ],
-    )
+    path = list(keys)
+    out = _with_range(counts, path, value)
+    for level in range(2):
+        bin_ = f"_bin{level}"
+        out = out.withColumn(bin_, _bin(value)).drop("_lo", "_hi")
+        across = Window.partitionBy(*path).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+        bins = out.groupBy(*path, bin_).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(m).alias(f"_{m}") for m in measures])
+        before = [F.coalesce(F.sum(f"_{m}").over(across), F.lit(0)).alias(f"_{m}_off{level}") for m in measures]
+        out = out.join(bins.select(*path, bin_, "_lo", "_hi", *before), [*path, bin_])
+        path.append(bin_)
+    inside = Window.partitionBy(*path).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = {
+        f"{m}_before": F.col(f"_{m}_off0") + F.col(f"_{m}_off1") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
+    }
+    return out.select(*counts.columns, *[c.alias(n) for n, c in totals.items()])
 
 
 def quantiles(
@@ -89,39 +90,31 @@ def _ranked_quantiles(
             )
         ).alias("_s"),
     ).select(*keys, "_s.*")
-    counts = (
-        long.filter(F.col("_v").isNotNull())
-        .groupBy(*group, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", magnitude_bin(F.col("_v")))
-    )
-    across = Window.partitionBy(*group).orderBy("_bin")
-    whole = Window.partitionBy(*group)
-    bins = (
-        counts.groupBy(*group, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"))
-        .select(
-            *group,
-            "_bin",
-            (F.sum("_in_bin").over(across) - F.col("_in_bin")).alias("_off"),
-            F.col("_in_bin"),
-            F.sum("_in_bin").over(whole).alias("_total"),
-        )
-    )
+    counts = long.filter(F.col("_v").isNotNull()).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    held = counts
     position = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
     wanted = [f(h) for h in position for f in (F.floor, F.ceil)]
 
     def covers(start: Column, width: Column) -> list[Column]:
         return [(start <= w) & (w < start + width) for w in wanted]
 
-    hit = covers(F.col("_off"), F.col("_in_bin"))
-    any_hit = hit[0]
-    for h in hit[1:]:
-        any_hit = any_hit | h
-    inside = Window.partitionBy(*group, "_bin").orderBy("_v")
-    placed = counts.join(bins.filter(any_hit), [*group, "_bin"]).withColumn(
-        "_start", F.col("_off") + F.sum("_n").over(inside) - F.col("_n")
-    )
+    path = list(group)
+    held = _with_range(held, path, "_v")
+    for level in range(2):
+        bin_ = f"_bin{level}"
+        known = [F.first(c).alias(c) for c in ("_off", "_total")] if level else []
+        held = held.withColumn(bin_, _bin("_v")).drop("_lo", "_hi")
+        bins = held.groupBy(*path, bin_).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_in_bin"), *known)
+        if not level:
+            bins = bins.withColumns({"_off": F.lit(0).cast("long"), "_total": F.sum("_in_bin").over(Window.partitionBy(*path))})
+        across = Window.partitionBy(*path).orderBy(bin_)
+        bins = bins.withColumn("_off", F.col("_off") + F.sum("_in_bin").over(across) - F.col("_in_bin"))
+        hit = reduce(lambda a, b: a | b, covers(F.col("_off"), F.col("_in_bin")))
+        hits = bins.filter(hit).select(*path, bin_, "_off", "_total", "_lo", "_hi")
+        path.append(bin_)
+        held = held.drop("_off", "_total").join(hits, path)
+    inside = Window.partitionBy(*path).orderBy("_v")
+    placed = held.withColumn("_start", F.col("_off") + F.sum("_n").over(inside) - F.col("_n"))
     picks = covers(F.col("_start"), F.col("_n"))
     picked = placed.groupBy(*group).agg(
         F.max("_total").alias("_total"),
@@ -140,15 +133,13 @@ def _ranked_quantiles(
     return solved.groupBy(*keys).agg(*aggs)
 
 
-def values_at_ranks(
-    df: DataFrame, value: str, bin_: Column, ranks: Sequence[int]
-) -> list:
+def values_at_ranks(df: DataFrame, value: str, order: Column, ranks: Sequence[int]) -> list:
     """The distinct values of ``value`` at the given 0-based ranks; None beyond the end.
 
-    Only the requested values travel to the driver.
+    ``order`` is a number that grows with the value. Only the requested values travel to the driver.
     """
-    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    ranked = with_running_totals(distinct, [], value, bin_, ["_one"])
+    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumns({"_one": F.lit(1), "_order": order})
+    ranked = with_running_totals(distinct, [], "_order", ["_one"])
     found = {
         r["_one_before"]: r[value]
         for r in ranked.filter(F.col("_one_before").isin([int(r) for r in ranks])).collect()

@@ -85,7 +85,7 @@ def impute(df: DataFrame, layout: SeriesLayout | None = None) -> DataFrame:
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if layout.hot:
         carried = _carried(df, layout, sensors)
-        opened = layout.with_chunk(df).join(F.broadcast(carried), [STATION, CHUNK], "left")
+        opened = layout.with_chunk(df).join(carried, [STATION, CHUNK], "left")
         filled = opened.withColumns(
             {
                 f"{c}_clean": F.coalesce(

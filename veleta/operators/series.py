@@ -97,6 +97,11 @@ class SeriesLayout:
         """True when a one-row-per-station table is small enough to broadcast."""
         return self.stations <= 200_000
 
+    @property
+    def small_baselines(self) -> bool:
+        """True when a table of 24 rows per station is small enough to broadcast."""
+        return 24 * self.stations <= 200_000
+
     def window(self) -> WindowSpec:
         if not self.hot:
             return station_window()

@@ -26,8 +26,7 @@ def split_bounds(df: DataFrame, train: float = 0.60, val: float = 0.20) -> Split
     n = df.agg(F.countDistinct("timestamp")).first()[0]
     first_val = int(n * train)
     first_test = first_val + int(n * val)
-    day = F.floor(micros(F.col("timestamp")) / F.lit(86_400_000_000))
-    return SplitBounds(*values_at_ranks(df, "timestamp", day, [first_val, first_test]))
+    return SplitBounds(*values_at_ranks(df, "timestamp", micros(F.col("timestamp")), [first_val, first_test]))
 
 
 def split_chrono(df: DataFrame, bounds: SplitBounds | None = None, train: float = 0.60, val: float = 0.20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -20,15 +20,26 @@ class FeatureModel:
 
     layout: SeriesLayout
     baselines: DataFrame
+    coords: DataFrame
     neighbours: DataFrame
+    k: int = 2
     consistency: object | None = None
     lags: tuple[int, ...] = LAGS
     windows: tuple[int, ...] = WINDOWS
 
+    def for_table(self, cleaned: DataFrame, layout: SeriesLayout) -> FeatureModel:
+        """The model for another table: measured sizes and neighbours are the table's own, baselines stay.
+
+        Stations that the fit did not see are placed by their first row and find neighbours among all.
+        """
+        coords = station_coords(cleaned)
+        known = self.coords.join(coords.select(STATION), STATION, "left_anti")
+        return replace(self, layout=layout, coords=coords, neighbours=knn_stations(coords.unionByName(known), self.k).persist())
+
     def transform(self, cleaned: DataFrame) -> DataFrame:
-        """Temporal, baseline, spatial and cross-sensor features and rule flags."""
+        """Temporal, baseline, spatial and cross-sensor features and rule flags of the table that was measured."""
         layout = self.layout
-        table = baseline_apply(cleaned, self.baselines, small_network=layout.small_network)
+        table = baseline_apply(cleaned, self.baselines, small=layout.small_baselines)
         if not layout.small_groups:
             # Before context rows are added: the statistics are over the station's own rows.
             table = table.join(rules.spike_stats(table, "pressure_hpa_clean", layout), STATION, "left")
@@ -58,16 +69,23 @@ def fit_features(
     lags: tuple[int, ...] = LAGS,
     windows: tuple[int, ...] = WINDOWS,
     consistency: bool = False,
+    baselines: DataFrame | None = None,
 ) -> FeatureModel:
-    """Fit on cleaned training rows; neighbours come from all stations' coordinates."""
+    """Fit on cleaned training rows; neighbours come from all stations' coordinates.
+
+    ``baselines`` may be given where they are fitted already.
+    """
     from veleta.operators.multivariate import fit_consistency
 
     layout = layout or SeriesLayout.measure(everything)
+    coords = station_coords(everything).persist()
     return FeatureModel(
         layout,
         # Small next to the observations and read by every transform.
-        baseline_fit(train, layout).persist(),
-        knn_stations(station_coords(everything), k).persist(),
+        baseline_fit(train, layout).persist() if baselines is None else baselines,
+        coords,
+        knn_stations(coords, k).persist(),
+        k,
         fit_consistency(train) if consistency else None,
         lags,
         windows,

@@ -13,7 +13,9 @@ from veleta.operators import diagnosis, fusion, qc, weather
 from veleta.operators.anomaly import AnomalyEnsemble
 from veleta.operators.expected import ExpectedValues, apply_all
 from veleta.operators.health import join_health
+from veleta.operators.series import SeriesLayout
 from veleta.plans.features import FeatureModel, clean
+from veleta.session import scratch_dir
 
 
 @dataclass
@@ -30,16 +32,25 @@ class Engine:
         checked = staged(qc.qc_score(featured), "checks")
         return staged(self.anomaly.transform(apply_all(checked, self.expected)), "scores")
 
-    def decide(self, scored: DataFrame) -> DataFrame:
+    def decide(self, scored: DataFrame, small_network: bool) -> DataFrame:
         """Diagnosis, weather evidence, fusion and health on scored rows."""
         weathered = weather.wx_score(scored)
         judged = fusion.fuse(diagnosis.fault_evidence(weathered, fusion.score_prelim()), len(self.expected))
-        return join_health(judged, self.health, self.features.layout.small_network)
+        return join_health(judged, self.health, small_network)
 
     def score_batch(self, observations: DataFrame) -> DataFrame:
-        """One nested record per observation; keys of the input must be unique."""
-        featured = self.features.transform(clean(observations, self.features.layout))
-        return records(self.decide(self.evidence(featured)))
+        """One nested record per observation; keys of the input must be unique.
+
+        Sizes, missing sensors and neighbours are those of the given table, whatever the models were fitted on. The
+        cleaned table is written once, as features of rows and of their neighbours both read it.
+        """
+        layout = SeriesLayout.measure(observations)
+        cleaned = clean(observations, layout)
+        path = scratch_dir(observations.sparkSession, "cleaned")
+        cleaned.write.parquet(path)
+        cleaned = observations.sparkSession.read.parquet(path)
+        featured = self.features.for_table(cleaned, layout).transform(cleaned)
+        return records(self.decide(self.evidence(featured), layout.small_network))
 
 
 def records(decided: DataFrame) -> DataFrame:

@@ -44,14 +44,6 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def checkpoint(df):
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that results depend on, for a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -10,12 +10,13 @@ from veleta.functions.parse import (
     first_present,
     first_usable,
     is_missing_text,
+    number_of,
     parse_epoch,
     parse_number,
     parse_timestamp,
     usable_text,
 )
-from veleta.functions.texts import staged
+from veleta.functions.texts import let, staged
 from veleta.operators.dedup import dedup_first
 
 RECORD, RECORDS = "MAP<STRING,STRING>", "ARRAY<MAP<STRING,STRING>>"
@@ -76,14 +77,10 @@ def norm_timestamp(raw: Column, now: Column) -> Column:
 
     Text in no known layout gives null; such rows go to quarantine.
     """
-    date, time = usable_text(raw["date"]), usable_text(raw["time"])
+    joined = F.concat(usable_text(raw["date"]), F.lit(" "), usable_text(raw["time"]))
     text = usable_text(first_present(raw, V.ALIASES["timestamp"]))
-    joined = F.concat(date, F.lit(" "), time)
-    return (
-        F.when(joined.isNotNull(), parse_timestamp(joined))
-        .when(text.isNull(), now)
-        .otherwise(F.coalesce(parse_epoch(text), parse_timestamp(text)))
-    )
+    read = let(F.coalesce(joined, text), lambda t: F.coalesce(parse_epoch(t), parse_timestamp(t)))
+    return F.when(joined.isNull() & text.isNull(), now).otherwise(read)
 
 
 def _named(raw: Column, names: list[str], parts: tuple[str, ...]) -> Column:
@@ -95,21 +92,21 @@ def _named(raw: Column, names: list[str], parts: tuple[str, ...]) -> Column:
 
 
 def norm_units(raw: Column) -> dict[str, Column]:
-    """Sensor values in °C, %, hPa, km/h and mm."""
-    value = {s: parse_number(first_present(raw, V.ALIASES[s])) for s in V.SENSORS}
-    t, p = value["temperature_c"], value["pressure_hpa"]
-    w, r = value["wind_speed_kmh"], value["rainfall_mm"]
+    """Sensor values in °C, %, hPa, km/h and mm. Every reading is looked up and parsed once."""
+    value = {s: number_of(raw, V.ALIASES[s]) for s in V.SENSORS}
     wind, rain = V.ALIASES["wind_speed_kmh"], V.ALIASES["rainfall_mm"]
+    metres, knots, centimetres = _named(raw, wind, ("ms", "mps")), _named(raw, wind, ("knot",)), _named(raw, rain, ("cm",))
     return {
-        "temperature_c": F.when(t > 130, F.bround((t - 32.0) * 5.0 / 9.0, 2)).otherwise(t),
+        "temperature_c": let(
+            value["temperature_c"], lambda t: F.when(t > 130, F.bround((t - 32.0) * 5.0 / 9.0, 2)).otherwise(t)),
         "relative_humidity_pct": value["relative_humidity_pct"],
-        "pressure_hpa": F.when(p > 50000, F.bround(p / 100.0, 2))
-        .when((p >= 20) & (p <= 35), F.bround(p * 33.8639, 2))
-        .otherwise(p),
-        "wind_speed_kmh": F.when(_named(raw, wind, ("ms", "mps")), F.bround(w * 3.6, 2))
-        .when(_named(raw, wind, ("knot",)), F.bround(w * 1.852, 2))
-        .otherwise(w),
-        "rainfall_mm": F.when(_named(raw, rain, ("cm",)), F.bround(r * 10.0, 2)).otherwise(r),
+        "pressure_hpa": let(
+            value["pressure_hpa"],
+            lambda p: F.when(p > 50000, F.bround(p / 100.0, 2)).when((p >= 20) & (p <= 35), F.bround(p * 33.8639, 2)).otherwise(p)),
+        "wind_speed_kmh": let(
+            value["wind_speed_kmh"],
+            lambda w: F.when(metres, F.bround(w * 3.6, 2)).when(knots, F.bround(w * 1.852, 2)).otherwise(w)),
+        "rainfall_mm": let(value["rainfall_mm"], lambda r: F.when(centimetres, F.bround(r * 10.0, 2)).otherwise(r)),
     }
 
 
@@ -164,8 +161,8 @@ def normalize_records(records: DataFrame, now: Column | None = None) -> DataFram
     named = staged(keyed.withColumns(
         {
             "station_name": norm_station_name(m, F.col("station_id")),
-            "_lat": parse_number(first_present(m, V.ALIASES["latitude"])),
-            "_lon": parse_number(first_present(m, V.ALIASES["longitude"])),
+            "_lat": number_of(m, V.ALIASES["latitude"]),
+            "_lon": number_of(m, V.ALIASES["longitude"]),
         }
     ), "stations")
     search = F.concat_ws(" ", "station_name", F.coalesce(m["district"], F.lit("")), F.coalesce(m["state"], F.lit("")))

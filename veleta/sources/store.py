@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -64,7 +65,9 @@ class ObservationStore:
         """Filtered observations; a time filter also prunes year folders."""
         try:
             rows = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:  # only a store without a first batch is empty
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], STORE_SCHEMA).drop("year")
         if start is not None:
             rows = rows.filter(F.col("year") >= int(str(start)[:4]))
@@ -154,10 +157,31 @@ def fix_coords_update(df: DataFrame, station: str, latitude: float, longitude: f
     )
 
 
-def out_of_country(df: DataFrame, box: dict) -> DataFrame:
+def outside_box(box: dict) -> Column:
+    """Whether a row's place lies outside the box; not so where it is unknown."""
     (s, n), (w, e) = box["latitude"], box["longitude"]
     lat, lon = F.col("latitude"), F.col("longitude")
-    return df.filter((lat < s) | (lat > n) | (lon < w) | (lon > e)).select("station_id", "latitude", "longitude").distinct()
+    return F.coalesce((lat < s) | (lat > n) | (lon < w) | (lon > e), F.lit(False))
+
+
+def out_of_country(df: DataFrame, box: dict) -> DataFrame:
+    return df.filter(outside_box(box)).select("station_id", "latitude", "longitude").distinct()
+
+
+def backfill(store: ObservationStore, provider, start: dt.date, end: dt.date, chunk_days: int = 30) -> list[tuple[int, int, int, float]]:
+    """Fetch and insert chunk by chunk: (chunk, new rows, rows held, percent) for each.
+
+    ``provider(first, after)`` gives the observations of a chunk as a DataFrame. Keys that the store holds are left alone,
+    so a backfill that is run again inserts what is missing. The driver sees one count per chunk.
+    """
+    out, first, number, held = [], start, 0, store.read().count()
+    while first < end:
+        after = min(first + dt.timedelta(days=chunk_days), end)
+        new = store.insert_ignore(provider(first, after))
+        held += new
+        out.append((number, new, held, min(100.0, round((after - start).days * 100.0 / max((end - start).days, 1), 1))))
+        first, number = after, number + 1
+    return out
 
 
 def backfill_chunks(df: DataFrame, start, end, chunk_days: int = 30) -> DataFrame:

@@ -8,6 +8,7 @@ slot ``n - 1`` and overwrites slot ``n``, so a batch that is run again gives the
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from veleta.operators.filters import history_recent
 from veleta.operators.series import SeriesLayout
 from veleta.operators.serve import anomaly_feed, latest_per_station
 from veleta.operators.temporal import add_temporal_features
+from veleta.sources.export import sink_refresh_year
 from veleta.sources.payload import norm_batch, src_payload
-from veleta.sources.store import ObservationStore
+from veleta.sources.store import ObservationStore, conform, registry_of, registry_upsert
 
 WATERMARK = "2 hours"
 BUFFER_ROWS = 100
@@ -48,7 +50,9 @@ class SlotTable:
             return None
         try:
             return self.spark.read.parquet(self._slot(batch))
-        except AnalysisException:
+        except AnalysisException as error:  # a lost or damaged state must not pass for a new one
+            if batch > 0 or error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def write(self, df: DataFrame, batch: int) -> None:
@@ -67,14 +71,25 @@ def st_push(*streams: DataFrame) -> DataFrame:
     return out
 
 
+def quarantine_of(store: ObservationStore) -> str:
+    """Folder of records without a readable timestamp, next to the store."""
+    return f"{store.path}-quarantine"
+
+
 def st_ingest(payloads: DataFrame, store: ObservationStore, checkpoint: str, poll: str | None = POLL, column: str = "payload") -> StreamingQuery:
-    """Payloads to stored observations; existing keys are left alone."""
+    """Payloads to stored observations; existing keys are left alone.
+
+    Records without a readable timestamp go to ``quarantine_of(store)``, a folder per micro-batch, so that a batch
+    that is run again replaces its own.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        # A micro-batch is read twice: for its time span and for the append.
-        accepted = norm_batch(src_payload(batch, column))[0].persist()
+        # A micro-batch is read several times: for its time span, the append and the quarantine.
+        records = src_payload(batch, column).persist()
+        accepted, unreadable = norm_batch(records)
         store.insert_ignore(accepted)
-        accepted.unpersist()
+        unreadable.write.mode("overwrite").parquet(f"{quarantine_of(store)}/batch={number}")
+        records.unpersist()
 
     return start(payloads, each, checkpoint, poll)
 
@@ -118,9 +133,45 @@ def st_latest(stream: DataFrame, table: SlotTable, checkpoint: str, poll: str |
     return start(stream, each, checkpoint, poll)
 
 
-def live_anomalies(table: SlotTable, batch: int, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Anomaly feed over the current record of every station."""
-    return anomaly_feed(decide(table.read(batch)))
+@dataclass
+class LivePaths:
+    """Folders of one live pipeline; each table is replaced or appended per micro-batch."""
+
+    registry: SlotTable
+    latest: SlotTable
+    years: str
+    feed: str
+
+
+def live_pipeline(
+    payloads: DataFrame, store: ObservationStore, paths: LivePaths, decide: Callable[[DataFrame], DataFrame],
+    checkpoint: str, poll: str | None = POLL, column: str = "payload",
+) -> StreamingQuery:
+    """Payloads to store and quarantine, then registry, year export, current records and the anomaly feed.
+
+    A micro-batch refreshes the registry rows of its stations and the exported years it touches from the store, so a
+    batch that is run again gives the same tables. ``decide`` adds ``prediction`` to the current record of every station.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        records = src_payload(batch, column).persist()
+        accepted, unreadable = norm_batch(records)
+        accepted = conform(accepted).persist()
+        store.insert_ignore(accepted)
+        unreadable.write.mode("overwrite").parquet(f"{quarantine_of(store)}/batch={number}")
+        touched = store.read().join(accepted.select("station_id").distinct(), "station_id", "left_semi")
+        old, new = paths.registry.read(number - 1), registry_of(touched)
+        paths.registry.write(new if old is None else registry_upsert(old, new), number)
+        for row in accepted.select(F.year("timestamp").alias("year")).distinct().collect():  # a row per year
+            span = store.read(start=f"{row['year']}-01-01 00:00:00", end=f"{row['year']}-12-31 23:59:59.999999")
+            sink_refresh_year(span, paths.years, row["year"])
+        current = latest_per_station(merged(paths.latest.read(number - 1), latest_per_station(accepted)))
+        paths.latest.write(current, number)
+        anomaly_feed(decide(paths.latest.read(number))).write.mode("overwrite").parquet(f"{paths.feed}/batch={number}")
+        accepted.unpersist()
+        records.unpersist()
+
+    return start(payloads, each, checkpoint, poll)
 
 
 def st_status(stream: DataFrame, table: SlotTable, checkpoint: str, poll: str | None = POLL) -> StreamingQuery:
