@@ -18,6 +18,12 @@ from veleta.plans.features import FeatureModel, clean
 from veleta.session import scratch_dir
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @dataclass
 class Engine:
     """Everything that scoring needs; tables inside are one or a few rows per station."""
@@ -30,7 +36,8 @@ class Engine:
     def evidence(self, featured: DataFrame) -> DataFrame:
         """Checks, expected values and anomaly scores on a feature table."""
         checked = staged(qc.qc_score(featured), "checks")
-        return staged(self.anomaly.transform(apply_all(checked, self.expected)), "scores")
+        # detectors read the rows twice: for their neighbours and for themselves
+        return staged(self.anomaly.transform(written(apply_all(checked, self.expected), "expected")), "scores")
 
     def decide(self, scored: DataFrame, small_network: bool) -> DataFrame:
         """Diagnosis, weather evidence, fusion and health on scored rows."""
@@ -45,10 +52,7 @@ class Engine:
         cleaned table is written once, as features of rows and of their neighbours both read it.
         """
         layout = SeriesLayout.measure(observations)
-        cleaned = clean(observations, layout)
-        path = scratch_dir(observations.sparkSession, "cleaned")
-        cleaned.write.parquet(path)
-        cleaned = observations.sparkSession.read.parquet(path)
+        cleaned = written(clean(observations, layout), "cleaned")
         featured = self.features.for_table(cleaned, layout).transform(cleaned)
         return records(self.decide(self.evidence(featured), layout.small_network))
 
