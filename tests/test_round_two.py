@@ -219,3 +219,28 @@ def test_backfill_inserts_once(spark, tmp_path):
     assert [d[0] for d in done] == [0, 1, 2, 3] and done[-1][2] == store.read().count() == rows.count() and done[-1][3] == 100.0
     assert sum(d[1] for d in done) == rows.count()
     assert sum(d[1] for d in backfill(store, provider, *span, 10)) == 0
+
+
+def test_registered_chain_is_the_whole_job(spark, monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from veleta.catalog import models
+    from veleta.operators import decision, expected
+    from veleta.plans import train
+
+    full = spark.createDataFrame([("A", {"NORMAL": 1.0}, "none")], "station_id STRING, class_probabilities MAP<STRING, DOUBLE>, correction STRING")
+    calls = []
+
+    def job(*args, **named):
+        used = inspect.signature(train.train_job).bind(*args, **named)
+        used.apply_defaults()
+        calls.append(used.arguments)
+        return SimpleNamespace(engine=SimpleNamespace(score_batch=lambda rows: full))
+
+    monkeypatch.setattr(models, "train_job", job)
+    monkeypatch.setattr(models.C, "once", lambda s, d, name, make: make())
+    assert models.QUERIES["score_batch"](spark, SF).columns == full.columns
+    (used,) = calls
+    assert used["consistency"] and (used["regressors"] or expected.CANDIDATES) == expected.CANDIDATES
+    assert (used["classifiers"] or decision.CANDIDATES) == decision.CANDIDATES

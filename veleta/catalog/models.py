@@ -107,15 +107,9 @@ ORACLES["ad_consensus"] = f"WITH {NQ} " + C.rounded_sql(
 
 
 # --- classifiers and the whole chain -----------------------------------------------------
-# The registered chain fits two regressors and two classifiers, as every other candidate is a
-# query of its own above; ``train_job`` fits all of them unless told otherwise.
-CHAIN_REGRESSORS = {n: E.CANDIDATES[n] for n in ("ridge", "gradient_boosting")}
-CHAIN_CLASSIFIERS = {n: D.CANDIDATES[n] for n in ("logistic_regression", "random_forest")}
-
-
+# The registered chain is the whole training job: every regressor, every classifier, cross-sensor regressions.
 def _training(s, d):
-    return C.once(
-        s, d, "training", lambda: train_job(C.grid(s, d), consistency=False, regressors=CHAIN_REGRESSORS, classifiers=CHAIN_CLASSIFIERS))
+    return C.once(s, d, "training", lambda: train_job(C.grid(s, d)))
 
 
 def _train_report(s, d):
@@ -129,8 +123,7 @@ def _fit_metrics(s, d):
 
 QUERIES["train_job"] = _train_report
 QUERIES["ev_fit_select"] = _fit_metrics
-QUERIES["score_batch"] = lambda s, d: _training(s, d).engine.score_batch(C.grid(s, d)).select(
-    *KEYS, "prediction", "confidence", "severity", "fault_type", "genuine_event_score", "anomaly_score", "sensor_health", F.concat_ws("; ", "top_reasons").alias("reasons"))
+QUERIES["score_batch"] = lambda s, d: _training(s, d).engine.score_batch(C.grid(s, d))
 
 
 def _decided(s, d):
