@@ -244,3 +244,27 @@ def test_registered_chain_is_the_whole_job(spark, monkeypatch):
     (used,) = calls
     assert used["consistency"] and (used["regressors"] or expected.CANDIDATES) == expected.CANDIDATES
     assert (used["classifiers"] or decision.CANDIDATES) == decision.CANDIDATES
+
+
+def test_outlier_factor_with_many_equal_rows(spark):
+    """A third of the rows are alike, and leaves are small: neighbours and factors are those of brute force."""
+    from veleta.operators import local_outliers as L
+
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(1400, 6))
+    own[:300] = own[0] + rng.normal(scale=0.05, size=(300, 6))  # close to the equal rows, but different
+    x = np.vstack([own, np.repeat(own[:1], 700, axis=0)])
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("A", at, i, v.tolist()) for i, v in enumerate(x)], "station_id STRING, timestamp TIMESTAMP_NTZ, seq LONG, features ARRAY<DOUBLE>").repartition(5).cache()
+    model = L.fit_lof(rows, len(x), 6, leaf_rows=64)
+    got = np.array([r._raw_lof for r in model.score(rows).orderBy("seq").collect()])
+    want = plain_lof(x)
+    assert model.reference.count() == 1400 and np.isfinite(got).all()
+    assert (np.abs(got / want - 1) < 0.02).mean() > 0.9
+    # neighbours found, against brute force on the different rows
+    d = np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    true = np.argsort(d, axis=1)[:, :5]
+    leaf = model.leaves.of(own)
+    assert leaf.max() + 1 >= 20
+    assert (leaf[:, None, :] == leaf[true]).any(axis=2).mean() >= 0.9
