@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veleta.llm import mixing, near_dedup, topk
+from veleta.llm import mixing, near_dedup, prefix_trie, topk
 from veleta.llm.common import table
 from veleta.llm.packing import pack_documents
 from veleta.llm.pii import find_pii
@@ -41,10 +41,12 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": _mixed,
     "op9_pii": lambda s, d: find_pii(_documents(s, d)),
     "op10_near_dedup": lambda s, d: near_dedup.near_copies(_documents(s, d)),
+    "op11_prefix_trie": lambda s, d: prefix_trie.prefix_trie(table(s, d, "conversations")),
 }
 ORACLES: dict[str, str] = {
     "op6_exact_topk": topk.ORACLE_SQL,
     "op7_quality_rules": RULES_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op10_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
