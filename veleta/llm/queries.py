@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veleta.llm import mixing, near_dedup, prefix_trie, topk
+from veleta.llm import collocations, mixing, near_dedup, prefix_trie, topk
 from veleta.llm.common import table
+from veleta.llm.language_model import language_scores
 from veleta.llm.packing import pack_documents
 from veleta.llm.pii import find_pii
 from veleta.llm.quality_model import quality_scores
@@ -42,6 +43,8 @@ QUERIES: dict[str, Query] = {
     "op9_pii": lambda s, d: find_pii(_documents(s, d)),
     "op10_near_dedup": lambda s, d: near_dedup.near_copies(_documents(s, d)),
     "op11_prefix_trie": lambda s, d: prefix_trie.prefix_trie(table(s, d, "conversations")),
+    "op12_collocations": lambda s, d: collocations.collocations(_documents(s, d)),
+    "op13_lm_scoring": lambda s, d: language_scores(_documents(s, d)),
 }
 ORACLES: dict[str, str] = {
     "op6_exact_topk": topk.ORACLE_SQL,
@@ -49,4 +52,5 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op10_near_dedup": near_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
