@@ -65,7 +65,7 @@ def same(df, rows):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("bucket_tokens,shard,flush", [(4_000_000, 1_000_000, 3_000_000), (500, 60, 700)])
+@pytest.mark.parametrize("bucket_tokens,shard,flush", [(2_000_000, 1_000_000, 1_000_000), (500, 60, 700)])
 def test_equals_plain_version(spark, corpus, docs, monkeypatch, tmp_path, bucket_tokens, shard, flush):
     from veleta.llm import language_model as lm
 

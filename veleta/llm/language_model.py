@@ -31,8 +31,8 @@ from veleta.session import scratch_dir
 HELD_OUT = (5, 1)  # documents whose crc32(doc_id) leaves 1 when divided by 5 are not learned from
 END = b"\n"  # no word holds it
 SHARD_WORDS = 1_000_000  # distinct words in a file
-BUCKET_TOKENS = 4_000_000  # tokens whose pairs are counted in one task and kept in one file
-FLUSH_TOKENS = 3_000_000  # tokens that a task counts before it hands on its counts
+BUCKET_TOKENS = 2_000_000  # tokens whose pairs are counted in one task and kept in one file
+FLUSH_TOKENS = 1_000_000  # tokens that a task counts before it hands on its counts
 OPEN_FILES = 4_096
 
 
@@ -456,7 +456,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, 1024):
+        for frame in slices(frames):
             if len(frame):
                 scores = model.score(frame["text"].tolist())
                 scores.index = frame.index
