@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veleta.fixed_values import CLASSES
+from veleta.operators import boosted_trees
 from veleta.operators.evaluation import class_report, confusion_matrix
+from veleta.operators.expected import row_key
 from veleta.operators.feature_prep import Scaling, decision_features, feature_select, fit_scaling
 from veleta.operators.rules import inferred_fault, map_fault_text
 
@@ -48,12 +51,9 @@ def dc_forest(rows: int):
     )
 
 
-def dc_boosted(rows: int):
-    """One boosted binary model per class."""
-    return OneVsRest(
-        classifier=GBTClassifier(maxIter=150, maxDepth=5, stepSize=0.08, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42),
-        labelCol="_label",
-    )
+def dc_boosted(rows: int) -> boosted_trees.Settings:
+    """A tree per class and round on softmax gradients; classes share every pass."""
+    return boosted_trees.Settings("xgboost", 0, rounds=150, depth=5, rate=0.08, sample=0.8, penalty=1.0, least_weight=1.0)
 
 
 CANDIDATES: dict[str, Callable] = {
@@ -82,13 +82,7 @@ class DecisionClassifier:
 
     def _apply(self, model, df: DataFrame) -> DataFrame:
         scored = model.transform(self.scaling.with_vector(df))
-        if "probability" in scored.columns:
-            proba = vector_to_array("probability")
-        else:
-            # One-vs-rest margins to shares.
-            odds = F.transform(vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(m * -2.0)))
-            total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-            proba = F.transform(odds, lambda o: o / total)
+        proba = vector_to_array("probability") if "probability" in scored.columns else F.col("proba")
         named = scored.withColumns({"predicted_class": class_name(F.col("prediction"), self.classes), "proba": proba})
         return named.drop("features", "rawPrediction", "probability", "prediction")
 
@@ -109,19 +103,31 @@ def fit_decision(
         return fitted
     cols = feature_select(train, decision_features(train), 5)
     fitted.scaling = fit_scaling(train, cols, rows)
-    labelled = fitted.scaling.with_vector(train).select("features", class_index(F.col(label), fitted.classes).alias("_label"))
+    labelled = fitted.scaling.with_vector(train).select(
+        row_key(train).alias("row"), "features", class_index(F.col(label), fitted.classes).alias("_label"))
     ready = balanced(labelled, fitted.classes).persist()
-    for name, make in (candidates or CANDIDATES).items():
+
+    def fit(name: str, make: Callable):
         try:
-            model = make(rows).fit(ready)
-            f1 = _macro_f1(fitted._apply(model, val), label, fitted.classes)
+            made = make(rows)
+            if isinstance(made, boosted_trees.Settings):
+                examples = ready.select(F.lit(0).alias("set"), "row", vector_to_array("features").alias("features"), F.col("_label").alias("label"))
+                model = boosted_trees.fit_boosted(examples, [replace(made, classes=len(fitted.classes))])[0, made.name]
+            else:
+                model = made.fit(ready)
+            return model, _macro_f1(fitted._apply(model, val), label, fitted.classes)
         except (IllegalArgumentException, ValueError) as error:  # the data do not allow this fit; lost tasks raise
             log.warning("candidate %s left out: %s", name, error)
             fitted.failed[name] = str(error)
-            continue
-        fitted.macro_f1[name] = f1
-        if not fitted.best or f1 > fitted.macro_f1[fitted.best]:
-            fitted.model, fitted.best = model, name
+
+    candidates = candidates or CANDIDATES
+    with ThreadPoolExecutor(len(candidates)) as pool:
+        found = dict(zip(candidates, pool.map(fit, *zip(*candidates.items()))))
+    for name, result in found.items():
+        if result is not None:
+            fitted.macro_f1[name] = result[1]
+            if not fitted.best or result[1] > fitted.macro_f1[fitted.best]:
+                fitted.model, fitted.best = result[0], name
     ready.unpersist()
     return fitted
 

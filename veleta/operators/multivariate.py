@@ -1,4 +1,4 @@
-"""Cross-sensor consistency: tree regressions and Mahalanobis distance."""
+"""Cross-sensor consistency: extremely randomised tree regressions and Mahalanobis distance."""
 
 from __future__ import annotations
 
@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veleta.fixed_values import SENSORS
 from veleta.operators.feature_prep import Scaling, fit_scaling
+from veleta.operators.random_cut_trees import RandomCutTrees, Settings, fit_random_cuts
 from veleta.operators.series import source_column
 
 MIN_ROWS = 10
@@ -56,7 +55,7 @@ class Consistency:
     scaling: Scaling
     mean: np.ndarray
     inverse: np.ndarray
-    regressors: dict[str, tuple[object, list[str]]]
+    regressors: dict[str, tuple[RandomCutTrees, list[str]]]
 
     def distance(self, df: DataFrame) -> DataFrame:
         values = [self.scaling.scaled(df, c) for c in self.scaling.cols]
@@ -69,19 +68,13 @@ class Consistency:
             src = F.col(source_column(df, sensor))
             filled = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in inputs])
             out = (
-                model.transform(out.withColumn("_mv", _to_vector(filled)))
+                model.transform(out.withColumn("_mv", filled), "_mv")
                 .withColumn(f"mv_{sensor}_residual", F.when(complete(df), src - F.col("_mv_pred")))
                 .drop("_mv", "_mv_pred")
             )
         return out
 
 
-def _to_vector(array: Column) -> Column:
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(array)
-
-
 def fit_mahalanobis(train: DataFrame) -> Consistency | None:
     cols = [source_column(train, s) for s in SENSORS]
     rows = train.filter(complete(train)).select(*cols)
@@ -99,13 +92,13 @@ def fit_consistency(train: DataFrame, trees: int = 50, depth: int = 4, leaf: int
     if fitted is None:
         return None
     rows = train.filter(complete(train))
-    for sensor in SENSORS:
-        src = source_column(train, sensor)
-        inputs = [source_column(train, s) for s in SENSORS if s != sensor]
-        assembled = VectorAssembler(inputCols=inputs, outputCol="_mv").transform(rows).select("_mv", src)
-        forest = RandomForestRegressor(
-            featuresCol="_mv", labelCol=src, predictionCol="_mv_pred", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=leaf, bootstrap=False, featureSubsetStrategy="onethird", seed=42,
-        )
-        fitted.regressors[sensor] = (forest.fit(assembled), inputs)
+    sources = [source_column(train, s) for s in SENSORS]
+    key = F.xxhash64(*[F.col(c) for c in ("station_id", "timestamp", "seq") if c in rows.columns]).alias("row")
+    examples = reduce(DataFrame.unionByName, [
+        rows.select(
+            F.lit(i).alias("set"), key, F.array(*[F.col(c).cast("double") for c in sources if c != src]).alias("features"), F.col(src).cast("double").alias("label"))
+        for i, src in enumerate(sources)])
+    models = fit_random_cuts(examples, [Settings("_mv_pred", i, trees, depth, leaf) for i in range(len(sources))])
+    for i, sensor in enumerate(SENSORS):
+        fitted.regressors[sensor] = (models[i, "_mv_pred"], [c for c in sources if c != sources[i]])
     return fitted
