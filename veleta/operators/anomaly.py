@@ -311,7 +311,7 @@ def fit_anomaly(train: DataFrame, detectors: Sequence[str] = ("lof", *SCORERS))
     ready = ready.withColumn("vector", array_to_vector("features"))
     fits = {
         "isolation_forest": lambda: fit_isolation_forest(ready),
-        "lof": lambda: local_outliers.fit_lof(ready, scaling.rows, len(cols)),
+        "lof": lambda: local_outliers.fit_lof(ready, scaling.rows),
         "one_class_svm": lambda: fit_ocsvm(ready, len(cols), entry_variance(ready)),
         "elliptic_envelope": lambda: fit_elliptic(ready, scaling.rows),
         "mahalanobis": lambda: fit_mahalanobis(ready),

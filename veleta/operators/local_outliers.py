@@ -1,9 +1,11 @@
-"""Local outlier factor over a whole table: random-projection leaves, neighbours within leaves, densities by joins.
-
-Rows of equal features are folded into one point that counts as often as it occurs. Each of the trees cuts the points along
-random directions at exact quantiles into leaves of bounded size, which no number of equal rows can overfill; a point's
-neighbours are sought among the points that share a leaf with it in any tree. Distances of neighbours, k-distances and
-densities are tables of k numbers per point. Nothing but the directions and the cuts, one number per leaf, travels to the driver.
+"""Local outlier factor over a whole table with exact neighbours.
+
+Rows of equal features are folded into one point that counts as often as it occurs. Points are dealt to the nearest of a few
+thousand pivots, and the cells of pivots that are full are cut into rings of the distance to the pivot: a block is one
+ring of one cell. A row first asks the block that it lies in, which bounds the distance of its k-th neighbour; then it asks
+every block that the triangle inequality does not place beyond that bound, so neighbours are exact whatever the
+blocks. Distances of neighbours, k-distances and densities are tables of k numbers per point. The pivots and two
+numbers per block travel to the driver and back.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
+from veleta.operators.order_stats import with_running_totals
 from veleta.session import scratch_dir
 
 KEYS = ["station_id", "timestamp", "seq"]
 NEIGHBOURS = 5
-TREES = 32  # recall of neighbours on 87 features: 0.93 at 112 leaves of 128 rows, 1.0 at 7 leaves of 2,048
-LEAF_ROWS = 2048
-FAN_OUT = 16  # cells that one direction is cut into, at most
-ASKED = 16384  # rows of one leaf that one task asks for
+BLOCK_ROWS = 8192
+BLOCKS = 65536  # more rows than BLOCKS * BLOCK_ROWS make larger blocks
+PIVOTS = 4096
+ASKED = 16384  # rows that one task asks one block for
+NEAR = 1e-9  # distances are kept apart by more than rounding
 TINY = 1e-10
 
 
@@ -50,82 +53,139 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @dataclass
-class Leaves:
-    """Directions and cuts of each tree; a tree of ``n`` levels has a row of cuts for every cell of the level above."""
-
-    directions: np.ndarray  # trees x levels x features
-    cuts: list[list[np.ndarray]]  # trees x levels: cells x (fan-out - 1)
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each row in each tree."""
-        out = np.zeros((len(x), len(self.cuts)), dtype=np.int64)
-        for t, levels in enumerate(self.cuts):
-            for level, cuts in enumerate(levels):
-                value = x @ self.directions[t, level]
-                out[:, t] = out[:, t] * (cuts.shape[1] + 1) + (value[:, None] > cuts[out[:, t]]).sum(axis=1)
-        return out
-
-
-def _with_leaves(df: DataFrame, leaves: Leaves) -> DataFrame:
-    """A row per tree: tree and leaf added."""
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+class Cells:
+    """Pivots, and for each block its cell and the range of its points' distances to the pivot; blocks go by cell and range."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        d2 = (x**2).sum(axis=1)[:, None] + (self.pivots**2).sum(axis=1) - 2.0 * x @ self.pivots.T
+        return np.sqrt(np.maximum(d2, 0.0))
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Block and distance to the pivot of each row; rows between two rings go to the inner one."""
+        d = self.distances(x)
+        cell = d.argmin(axis=1)
+        own = d[np.arange(len(x)), cell]
+        first, last = np.searchsorted(self.cell, cell, side="left"), np.searchsorted(self.cell, cell, side="right")
+        block = np.array([max(a, a + int(np.searchsorted(self.low[a:b], v, side="right")) - 1) for a, b, v in zip(first, last, own)], dtype=np.int64)
+        return block, own
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Rows x blocks: whether a block may hold points as near as ``reach``.
+
+        A point is as far as its ring is from the row's distance to the pivot, and no nearer than the plane between
+        the row's own pivot and the point's.
+        """
+        d = self.distances(x)
+        own = d.argmin(axis=1)
+        nearest_pivot = d[np.arange(len(x)), own]
+        apart = self.distances(self.pivots)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.nan_to_num((d**2 - (nearest_pivot**2)[:, None]) / (2.0 * apart[own]), nan=0.0, posinf=0.0, neginf=0.0)
+        d, plane = d[:, self.cell], plane[:, self.cell]
+        least = np.maximum(np.maximum(d - self.high, self.low - d), plane)
+        return least * (1.0 - NEAR) - NEAR * (1.0 + d) <= reach[:, None]
+
+
+def _stacked(features: pd.Series) -> np.ndarray:
+    return np.stack(features.to_numpy()) if len(features) else np.empty((0, 1))
+
+
+def _with_home(df: DataFrame, cells: Cells) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("block long, away double")
+    def place(features: pd.Series) -> pd.DataFrame:
+        block, away = shared.value.home(_stacked(features)) if len(features) else ([], [])
+        return pd.DataFrame({"block": block, "away": away})
+
+    return df.withColumn("_home", place(F.col("features"))).select(*df.columns, "_home.block", "_home.away")
+
+
+def fit_cells(points: DataFrame, count: int, block_rows: int = BLOCK_ROWS) -> Cells:
+    """Pivots are the points of the smallest hashes; full cells are cut at ranks of the distance to the pivot."""
+    block_rows = max(block_rows, -(-count // BLOCKS))
+    if count <= block_rows:
+        width = len(points.first()["features"]) if count else 1
+        return Cells(np.zeros((1, width)), np.array([0]), np.array([0.0]), np.array([np.inf]))
+    wanted = min(PIVOTS, -(-2 * count // block_rows))
+    chosen = points.orderBy(F.xxhash64("features"), "row").limit(wanted).select("features").collect()  # PIVOTS rows at most
+    pivots = np.array([r["features"] for r in chosen])
+    whole = Cells(pivots, np.arange(len(pivots)), np.zeros(len(pivots)), np.full(len(pivots), np.inf))
+    dealt = _stored(_with_home(points, whole).select("block", "away"), "lof-cells")
+    full = dealt.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).select("block")
+    counts = dealt.join(F.broadcast(full), "block", "left_semi").groupBy("block", "away").agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_running_totals(counts, ["block"], "away", ["n"]).withColumn("ring", F.floor(F.col("n_before") / block_rows))
+    rings = ranked.groupBy("block", "ring").agg(F.min("away").alias("low")).filter("ring > 0").collect()  # a row per further block
+    edges = sorted([(i, 0.0) for i in range(len(pivots))] + [(r["block"], r["low"]) for r in rings])
+    cell, low = np.array([c for c, _ in edges]), np.array([v for _, v in edges])
+    return Cells(pivots, cell, low, np.full(len(edges), np.inf))
+
+
+def _with_ranges(cells: Cells, placed: DataFrame) -> Cells:
+    """The true ranges of blocks; blocks without points are beyond any reach."""
+    low, high = np.full(len(cells.cell), np.inf), np.full(len(cells.cell), -np.inf)
+    for r in placed.groupBy("block").agg(F.min("away").alias("low"), F.max("away").alias("high")).collect():  # a row per block
+        low[r["block"]], high[r["block"]] = r["low"], r["high"]
+    return Cells(cells.pivots, cells.cell, low, high)
+
+
+KINDS = {"row": "LONG", "station_id": "STRING", "timestamp": "TIMESTAMP_NTZ", "seq": "LONG", "near": "LONG", "copies": "LONG"}
+
+
+def _asked(held: DataFrame, asked: DataFrame, keys: list[str], k: int, facts: list[str], itself: bool) -> DataFrame:
+    """The k nearest points of the asked block: keys, near, copies, dist and facts of the points.
+
+    A block that very many rows ask is held whole by several tasks, and each answers some of the rows.
+    """
+    parts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
+    rows = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64(*keys), F.col("parts")).cast("int")).drop("parts")
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # rows may come from the same table
+    points = held.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    names = [*keys, "near", "copies", "dist", *facts]
+
+    def search(reference: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(reference) or not len(rows):
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        reference = reference.sort_values("row")
+        dist, index = nearest(_stacked(rows["features"]), _stacked(reference["features"]), k if itself else k + 1)
+        near = reference["row"].to_numpy()[index]
+        keep = np.ones(near.shape, dtype=bool) if itself else near != rows["row"].to_numpy()[:, None]
+        keep &= np.cumsum(keep, axis=1) <= k
+        row, at = np.nonzero(keep)
+        out = rows[keys].iloc[row].reset_index(drop=True)
+        index = index[row, at]
+        return out.assign(near=near[row, at], copies=reference["copies"].to_numpy()[index], dist=dist[row, at], **{f: reference[f].to_numpy()[index] for f in facts})
+
+    schema = ", ".join(f"{n} {KINDS.get(n, 'DOUBLE')}" for n in names)
+    return points.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(search, schema)
+
+
+def neighbours(held: DataFrame, cells: Cells, rows: DataFrame, keys: list[str], k: int, facts: list[str], itself: bool) -> DataFrame:
+    """Candidates that hold the k nearest points of each row: those of its own block and of all within their reach."""
+    home = _with_home(rows.select(*keys, "features"), cells).drop("away")
+    if len(cells.cell) == 1:
+        return _asked(held, home, keys, k, facts, itself)
+    home = _stored(home, "lof-asked")
+    first = _stored(_asked(held, home, keys, k, facts, itself), "lof-first")
+    reach = first.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("reach"))
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
 
     @F.pandas_udf("array<long>")
-    def place(features: pd.Series) -> pd.Series:
-        x = np.stack(features.to_numpy()) if len(features) else np.empty((0, 1))
-        return pd.Series(list(shared.value.of(x)) if len(x) else [], dtype=object)
-
-    placed = df.withColumn("_leaves", place(F.col("features")))
-    return placed.select(*df.columns, F.posexplode("_leaves").alias("tree", "leaf"))
-
-
-def fit_leaves(rows: DataFrame, count: int, width: int, trees: int = TREES, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> Leaves:
-    """Cut level by level at exact quantiles of the projected rows, so cuts do not depend on partitioning."""
-    fans, cells = [], 1
-    while count > leaf_rows * cells:
-        fans.append(min(fan_out, -(-count // (leaf_rows * cells))))
-        cells *= fans[-1]
-    trees = trees if fans else 1  # one leaf holds all rows
-    rng = np.random.default_rng(42)
-    directions = rng.normal(size=(trees, max(len(fans), 1), width))
-    directions /= np.linalg.norm(directions, axis=2, keepdims=True)
-    leaves = Leaves(directions, [[] for _ in range(trees)])
-    cells = 1
-    for level, fan in enumerate(fans):
-        probs = [i / fan for i in range(1, fan)]
-        shared = rows.sparkSession.sparkContext.broadcast(directions[:, level])
-
-        @F.pandas_udf("array<double>")
-        def project(features: pd.Series) -> pd.Series:
-            x = np.stack(features.to_numpy()) if len(features) else np.empty((0, shared.value.shape[1]))
-            return pd.Series(list(x @ shared.value.T), dtype=object)
-
-        projected = rows.select("features", project(F.col("features")).alias("p"))
-        placed = _with_leaves(projected, leaves) if level else projected.select("p", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("leaf"))
-        placed = placed.select("tree", "leaf", F.get("p", F.col("tree")).alias("v"))
-        found = quantiles(placed, ["tree", "leaf"], ["v"], probs, count * trees <= SMALL_GROUP_ROWS).collect()  # a row per cell
-        for t in range(trees):
-            cuts = np.zeros((cells, fan - 1))
-            for r in found:
-                if r["tree"] == t:
-                    cuts[r["leaf"]] = [r[f"v_q{i}"] for i in range(fan - 1)]
-            leaves.cuts[t].append(cuts)
-        cells *= fan
-    return leaves
-
-
-PAIRS = "station_id STRING, timestamp TIMESTAMP_NTZ, seq LONG, near LONG, copies LONG, dist DOUBLE"
-
-
-def _own_neighbours(k: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row")
-        x, row, copies = np.stack(frame["features"].to_numpy()), frame["row"].to_numpy(), frame["copies"].to_numpy()
-        dist, index = nearest(x, x, k + 1)
-        own, at = np.nonzero(index != np.arange(len(x))[:, None])
-        return pd.DataFrame({"row": row[own], "near": row[index[own, at]], "copies": copies[index[own, at]], "dist": dist[own, at]})
-
-    return run
+    def others(features: pd.Series, reach: pd.Series, block: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        may = shared.value.within(_stacked(features), reach.fillna(np.inf).to_numpy())
+        may &= np.isfinite(shared.value.low)  # blocks with points
+        may[np.arange(len(may)), block.to_numpy()] = False
+        return pd.Series([np.flatnonzero(m) for m in may], dtype=object)
+
+    more = home.join(reach, keys, "left").withColumn("block", F.explode(others("features", "reach", "block"))).drop("reach")
+    return first.unionByName(_asked(held, more, keys, k, facts, itself))
 
 
 def _closest(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -144,52 +204,33 @@ def _mean(value: Column | str) -> Column:
 
 @dataclass
 class LocalOutliers:
-    leaves: Leaves
-    reference: DataFrame  # row, features, copies, reach, density
+    cells: Cells
+    reference: DataFrame  # row, features, copies, block, reach, density
     k: int
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Keys and ``_raw_lof`` of rows with ``features``: mean density of the neighbours over the row's own.
-
-        A row that shares no leaf with any reference row has a null score.
-        """
-        held = _with_leaves(self.reference, self.leaves)
-        asked = _with_leaves(df.select(*KEYS, "features"), self.leaves)
-        # a leaf that very many rows ask in is held whole by several tasks, and each answers some of the rows
-        parts = asked.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
-        asked = asked.join(parts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(*KEYS), F.col("parts")).cast("int")).drop("parts")
-        held = held.join(parts, ["tree", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        group = ["tree", "leaf", "part"]
-        k = self.k
-
-        def search(reference: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            names = [*KEYS, "near", "copies", "dist", "reach", "density"]
-            if not len(reference) or not len(rows):
-                return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-            reference = reference.sort_values("row")
-            dist, index = nearest(np.stack(rows["features"].to_numpy()), np.stack(reference["features"].to_numpy()), k)
-            out = rows[KEYS].loc[rows.index.repeat(dist.shape[1])].reset_index(drop=True)
-            at = index.ravel()
-            return out.assign(near=reference["row"].to_numpy()[at], copies=reference["copies"].to_numpy()[at], dist=dist.ravel(), reach=reference["reach"].to_numpy()[at], density=reference["density"].to_numpy()[at])
-
-        found = held.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(search, f"{PAIRS}, reach DOUBLE, density DOUBLE")
-        closest = _closest(found, KEYS, k)
+        """Keys and ``_raw_lof`` of rows with ``features``: mean density of the neighbours over the row's own."""
+        found = neighbours(self.reference, self.cells, df, KEYS, self.k, ["reach", "density"], itself=True)
+        closest = _closest(found, KEYS, self.k)
         own = 1.0 / (_mean(F.greatest("dist", "reach")) + TINY)
         return closest.groupBy(*KEYS).agg((_mean("density") / own).alias("_raw_lof"))
 
 
-def fit_lof(train: DataFrame, count: int, width: int, k: int = NEIGHBOURS, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> LocalOutliers:
+def fit_lof(train: DataFrame, count: int, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> LocalOutliers:
     """Reference rows are all training rows; keys must be unique."""
     points = train.groupBy("features").agg(F.count(F.lit(1)).alias("copies"))
     rows = _stored(points.withColumn("row", F.monotonically_increasing_id()), "lof-rows")
     k = max(1, min(k, count - 1))
-    leaves = fit_leaves(rows, rows.count(), width, trees, leaf_rows)
-    placed = _with_leaves(rows, leaves)
-    pairs = placed.groupBy("tree", "leaf").applyInPandas(_own_neighbours(k), "row LONG, near LONG, copies LONG, dist DOUBLE")
+    cells = fit_cells(rows, rows.count(), block_rows)
+    held = _stored(_with_home(rows, cells), "lof-points")
+    if len(cells.cell) > 1:
+        cells = _with_ranges(cells, held)
+    held = held.drop("away")
+    pairs = neighbours(held, cells, held, ["row"], k, [], itself=False)
     alike = rows.filter("copies > 1").select("row", F.col("row").alias("near"), (F.col("copies") - 1).alias("copies"), F.lit(0.0).alias("dist"))
     near = _stored(_closest(pairs.unionByName(alike), ["row"], k), "lof-neighbours")
     reach = near.groupBy("row").agg(F.max("dist").alias("reach"))
     reached = near.join(reach.select(F.col("row").alias("near"), "reach"), "near")
     density = reached.groupBy("row").agg((1.0 / (_mean(F.greatest("dist", "reach")) + TINY)).alias("density"))
-    reference = _stored(rows.join(reach, "row").join(density, "row"), "lof-reference")
-    return LocalOutliers(leaves, reference, k)
+    reference = _stored(held.join(reach, "row").join(density, "row"), "lof-reference")
+    return LocalOutliers(cells, reference, k)
