@@ -31,14 +31,13 @@ KNOWN = 600_000  # words that a task remembers
 
 # lower case; a piece ends at punctuation and line ends; a tab is a blank
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-_BREAK = b"\n"
+_BREAK = b"."  # no word holds it
 COUNTS = "lang STRING, phrase BINARY, n LONG"
 
 
 def _words(texts: list[str]) -> list[bytes]:
-    """Words of all texts; a line end stands between pieces."""
-    joined = "\n".join(texts).encode("utf-8").translate(_FOLD)
-    return joined.replace(b"\n", b" \n ").split(b" ")
+    """Words of all texts; a break stands between pieces."""
+    return "\n".join(texts).encode("utf-8").translate(_FOLD).replace(b"\n", b" . ").split()
 
 
 class PhraseFilter:
@@ -71,7 +70,7 @@ class PhraseFilter:
 
 
 def _by_lang(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
-    for frame in slices(frames, 1024):
+    for frame in slices(frames, 2048):
         for lang, own in frame.groupby("lang")["text"]:
             yield lang, own.tolist()
 
@@ -85,7 +84,6 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def handed_on() -> Iterator[pd.DataFrame]:
         for lang, counts in held.items():
-            counts.pop(b"", None)
             counts.pop(_BREAK, None)
             yield _frame(lang, list(counts), list(counts.values()))
         held.clear()
@@ -102,22 +100,40 @@ class _Numbers:
 
     def __init__(self, lang: str, frequent: PhraseFilter):
         self.lang, self.frequent, self.known, self.names = lang.encode("utf-8"), frequent, {_BREAK: -1}, []
+        self.codes, self.linked = np.array([], dtype=np.int64), np.array([], dtype=bool)  # pairs that were looked up
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        fresh = list(set(words).difference(self.known, [b""]))
+        fresh = list(set(words).difference(self.known))
         for word, frequent in zip(fresh, self.frequent.holds(self.lang, fresh).tolist()):
             if frequent:
                 self.known[word] = len(self.names)
                 self.names.append(word)
             else:
                 self.known[word] = -1
-        known = self.known
-        return np.array([known[w] for w in words if w], dtype=np.int64)
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def are_linked(self, codes: np.ndarray, pairs: PhraseFilter) -> np.ndarray:
+        """Whether each of these sorted, distinct pairs is a frequent one."""
+        at = np.searchsorted(self.codes, codes)
+        known = self.codes[np.minimum(at, len(self.codes) - 1)] == codes if len(self.codes) else np.zeros(len(codes), dtype=bool)
+        fresh = codes[~known]
+        out = np.zeros(len(codes), dtype=bool)
+        out[known] = self.linked[at[known]]
+        out[~known] = found = pairs.holds(self.lang, self.phrases(_pair_rows(fresh)))
+        if len(self.codes) > 2 * FLUSH:
+            self.codes, self.linked = fresh, found
+        else:
+            every = np.concatenate([self.codes, fresh])
+            order = np.argsort(every, kind="stable")
+            self.codes, self.linked = every[order], np.concatenate([self.linked, found])[order]
+        return out
 
     def phrases(self, rows: np.ndarray) -> list[bytes]:
         """Words of each row of numbers, joined; -1 ends a row."""
-        names = [*self.names, None]
-        return [b" ".join([names[i] for i in row if i >= 0]) for row in rows.tolist()]
+        get = self.names.__getitem__
+        if rows.shape[1] == 2:
+            return [a + b" " + b for a, b in zip(map(get, rows[:, 0].tolist()), map(get, rows[:, 1].tolist()))]
+        return [b" ".join([get(i) for i in row if i >= 0]) for row in rows.tolist()]
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -137,9 +153,9 @@ def _counted(frames: Iterator[pd.DataFrame], frequent: PhraseFilter, take) -> It
 
     def handed_on() -> Iterator[pd.DataFrame]:
         for lang, parts in held.items():
-            rows, counts = np.unique(np.concatenate(parts), axis=0, return_counts=True)
-            if rows.ndim == 1:
-                rows = _pair_rows(rows)
+            found = np.concatenate(parts)
+            rows, counts = np.unique(found, axis=0 if found.ndim > 1 else None, return_counts=True)
+            rows = rows if rows.ndim > 1 else _pair_rows(rows)
             yield _frame(lang, langs[lang].phrases(rows), counts.tolist())
         held.clear()
 
@@ -172,7 +188,7 @@ def _count_suffixes(frequent: PhraseFilter, pairs: PhraseFilter, longest: int):
         ids = numbers.of(words)
         codes, back = np.unique(_pairs(ids), return_inverse=True)
         linked = codes >= 0
-        linked[linked] = pairs.holds(numbers.lang, numbers.phrases(_pair_rows(codes[linked])))
+        linked[linked] = numbers.are_linked(codes[linked], pairs)
         linked = linked[back]  # whether a word and the next one make a frequent pair
         reach = linked.astype(np.int64)  # frequent pairs in a row from here
         for step in range(1, longest - 1):
