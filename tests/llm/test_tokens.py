@@ -2,13 +2,14 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import rows_of
 from veleta.llm import packing, token_counts
-from veleta.llm.tokenization import encode_ids
+from veleta.llm.tokenization import byte_ranks, encode_ids
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 
@@ -54,6 +55,31 @@ def test_ids_equal_the_library(text):
     assert encode_ids([text], BYTE)[0] == struct.pack(f"<{len(want)}I", *want)
 
 
+def test_ids_equal_the_library_for_every_character():
+    library = Tokenizer.from_file(BYTE)
+    points = [*range(0xD800), *range(0xE000, 0x33000), *range(0xE0000, 0xE0200)]
+    for start in range(0, len(points), 10_000):
+        texts = [f"a{c}b{c}1 {c}x 1{c} .{c}.  {c} \n{c}" for c in map(chr, points[start : start + 10_000])]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert encode_ids(texts, BYTE) == want
+
+
+def test_long_runs_and_other_vocabularies():
+    for path, texts in [(BYTE, ["a" * 200_000, " " * 200_000 + "x", "^" * 100_000, "é \n" * 50_000]), (WORD, ["Two  words", ""])]:
+        library = Tokenizer.from_file(path)
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encode_ids(texts, path) == want
+    assert byte_ranks(WORD) is None
+
+
+def test_repeated_rows_spread_over_leaves(spark):
+    rows = [(None, 5, 0, 0, 512, 0)] * 2000
+    pieces = spark.createDataFrame(rows, "doc_id LONG, row_key LONG, piece INT, start LONG, length LONG, ids_crc32 LONG").repartition(3)
+    out = packing.pack(pieces, leaf_items=200, fan_in=4).collect()
+    assert len(out) == 2000 and len({r.sequence_id for r in out}) == 1000
+    assert len({r.sequence_id >> 22 for r in out}) >= 10  # bins that were full in their leaves
+
+
 def test_pack_round_trip(clashing, corpus):
     t = Tokenizer.from_file(BYTE)
     want = []

@@ -122,7 +122,7 @@ def _merge(sequence: int, keep_open: int, last: bool):
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
     """Pack pieces into as few sequences as possible.
 
-    Full pieces are sequences by themselves. The others are dealt to leaves by a hash and packed best-fit, longest
+    Full pieces are sequences by themselves. The others are dealt to leaves by a hash of piece and row number and packed best-fit, longest
     first; full bins leave the tree, and underfull ones meet as items in the next level's groups until one group is left.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset. Rows with a null doc_id keep it.
@@ -133,7 +133,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, leaf_items: int = LEAF_ITE
     fields = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "piece", "start", "length", "ids_crc32"]
     item = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("long") for f in fields])
     level_rows = short.select(
-        F.pmod(F.xxhash64("row_key", "piece"), F.lit(groups)).alias("bin_group"),
+        F.pmod(F.xxhash64("row_key", "piece", F.monotonically_increasing_id()), F.lit(groups)).alias("bin_group"),  # repeated rows spread
         F.col("row_key").alias("order_key"), F.col("piece").cast("long").alias("bin_no"),
         F.col("length").alias("used"), item.alias("items"),
     )
