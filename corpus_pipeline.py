@@ -17,6 +17,7 @@ from veleta.llm.packing import pack_documents
 from veleta.llm.pii import mask_pii
 from veleta.llm.quality_model import fit_quality, keep_quality
 
+NEAR_PERCENT = 80  # similarity of near copies that the stage thins
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from their labels, does not reject."""
@@ -24,9 +25,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies. Rows without a doc_id stay."""
-    dropped = stored(near_copies(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "near-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest doc_id, where no row has one any single row.
+
+    Rows are numbered first, so rows without a doc_id and repeated rows are thinned like all others.
+    """
+    row = next(n for n in ("row", *(f"row_{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "component_id")
+    placed = stored(groups.join(numbered.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id")), "_row"), "groups")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first"))
+    dropped = placed.join(first, "component_id").filter(F.col("first._row") != F.col("_row")).select(F.col("_row").alias(row))
+    return numbered.join(stored(dropped, "near-copies"), row, "left_anti").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
