@@ -42,7 +42,18 @@ def test_classifier_drops_what_it_rejects(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert sorted(r.doc_id for r in stages[2].collect()) == [i for i, _, _, kept in sorted(grouped(rows)) if kept]
+    assert sorted(r.doc_id for r in stages[2].collect()) == [i for i, _, _, kept in sorted(grouped(rows, 80)) if kept]
+
+
+def test_rows_without_ids_and_repeated_rows_are_thinned(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:90], "other", *words[91:]]  # 191 of 201 shingles
+    rows = [(None, " ".join(words), "en", "s", 1), (None, " ".join(near), "en", "s", 2), (7, " ".join(words), "en", "s", 3), (7, " ".join(words), "en", "s", 3)]
+    rows += [(None, f"alone {i} " * 3, None, None, None) for i in range(3)] + [(None, None, None, None, None)] * 2
+    docs = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", row INT")
+    kept = pipeline.thin(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, " ".join(words)), *[(None, f"alone {i} " * 3) for i in range(3)], (None, None), (None, None)], key=repr)
 
 
 def test_no_personal_data_is_left(stages):
