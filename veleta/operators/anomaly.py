@@ -11,6 +11,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -316,15 +317,20 @@ def fit_anomaly(train: DataFrame, detectors: Sequence[str] = ("lof", *SCORERS))
         "elliptic_envelope": lambda: fit_elliptic(ready, scaling.rows),
         "mahalanobis": lambda: fit_mahalanobis(ready),
     }
-    models, failed = {}, {}
-    for name in detectors:
+    failed = {}
+
+    def fit(name: str):
         started = time.perf_counter()
         try:
-            models[name] = fits[name]()
+            return fits[name]()
         except (np.linalg.LinAlgError, ValueError) as error:  # the data do not allow this fit; lost tasks raise
             log.warning("detector %s left out: %s", name, error)
             failed[name] = str(error)
-        log.info("detector %s took %.1f s", name, time.perf_counter() - started)
+        finally:
+            log.info("detector %s took %.1f s", name, time.perf_counter() - started)
+
+    with ThreadPoolExecutor(max(len(detectors), 1)) as pool:  # side by side: most of their jobs are small
+        models = {name: model for name, model in zip(detectors, pool.map(fit, detectors)) if model is not None}
     fitted = AnomalyEnsemble(scaling, models, failed=failed)
     fitted.limits.update(_limits(fitted.raw_scores(ready), fitted.active, scaling.rows))
     ready.unpersist()

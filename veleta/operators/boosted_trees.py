@@ -25,6 +25,7 @@ BINS = 255
 BIN_ROWS = 200_000  # rows that bin limits are taken from: all, or those of the smallest hashes
 IN_TASK_ROWS = 100_000
 KEEP_ROUNDS = 10  # rounds after which scores of rows are written
+SORT_ROWS = 8  # fewer rows per feature than this are sorted, not summed per bin
 FEATURE_BLOCK = 32  # features whose sums of a node meet in one group
 UNIT = 2.0**20  # a gradient is rounded to this part of the largest one at the start
 
@@ -96,23 +97,84 @@ def best_splits(sums: np.ndarray, unit: float, weight_unit: float, s: Settings)
 
     Equal gains go to the first feature and the lowest cut.
     """
-    total = sums[:, :1].sum(axis=2)  # nodes x 1 x 3: every feature's bins hold all rows
-    left = np.cumsum(sums, axis=2)[:, :, :-1]
-    right = total[:, :, None] - left
-    ok = (left[..., 2] >= max(s.least_rows, 1)) & (right[..., 2] >= max(s.least_rows, 1))
-
-    def worth(part: np.ndarray) -> np.ndarray:
-        return (part[..., 0] / unit) ** 2 / np.maximum(part[..., 1] / weight_unit + s.penalty, 1e-12)
-
+    total = sums[:, 0].sum(axis=1)  # nodes x 3: every feature's bins hold all rows
+    gradient, weight, rows = (np.cumsum(sums[..., i], axis=2)[:, :, :-1] for i in range(3))
+    whole = [total[:, i, None, None] for i in range(3)]
+    least = max(s.least_rows, 1)
+    ok = (rows >= least) & (whole[2] - rows >= least)
     if s.least_weight:
-        ok &= (left[..., 1] >= s.least_weight * weight_unit) & (right[..., 1] >= s.least_weight * weight_unit)
-    gain = np.where(ok, worth(left) + worth(right) - worth(total[:, :, None]), 0.0).reshape(len(sums), -1)
+        ok &= (weight >= s.least_weight * weight_unit) & (whole[1] - weight >= s.least_weight * weight_unit)
+
+    def worth(gradient, weight):
+        out = weight / weight_unit
+        out += s.penalty
+        np.maximum(out, 1e-12, out=out)
+        return np.divide(np.square(gradient / unit), out, out=out)
+
+    gain = worth(gradient, weight)
+    gain += worth(whole[0] - gradient, whole[1] - weight)
+    gain -= worth(whole[0], whole[1])
+    gain[~ok] = 0.0
+    gain = gain.reshape(len(sums), -1)
     best = np.argmax(gain, axis=1)
     at = np.arange(len(sums))
     found = gain[at, best]
-    feature, cut = best // left.shape[2], best % left.shape[2]
-    own_left = left[at, feature, cut]
-    return np.column_stack([np.where(found > 1e-9, found, 0.0), feature, cut, total[:, 0], own_left])
+    feature, cut = best // rows.shape[2], best % rows.shape[2]
+    own_left = np.column_stack([part[at, feature, cut] for part in (gradient, weight, rows)])
+    return np.column_stack([np.where(found > 1e-9, found, 0.0), feature, cut, total, own_left])
+
+
+def sorted_splits(codes: np.ndarray, node: np.ndarray, nodes: int, gradient: np.ndarray, weight: np.ndarray | None, unit: float, weight_unit: float, s: Settings) -> np.ndarray:
+    """The splits of ``best_splits`` from running sums over rows in order of node and code: cheaper where rows are few.
+
+    ``codes`` are features x rows here.
+    """
+    inside = node >= 0
+    codes, node, gradient = codes[:, inside], node[inside], gradient[inside].astype(np.float64)
+    out = np.zeros((nodes, len(SPLIT)))
+    if not len(node):
+        return out
+    kind = np.uint16 if nodes * (BINS + 1) <= 2**16 else np.uint32
+    key = (node * (BINS + 1)).astype(kind) + codes
+    order = np.argsort(key, axis=1, kind="stable")
+    key = np.take_along_axis(key, order, axis=1)
+    rows = np.bincount(node, minlength=nodes)
+    have = np.flatnonzero(rows)
+    rows = rows[have]
+    starts = np.cumsum(rows) - rows
+    at = np.repeat(np.arange(len(have)), rows)  # node of every position, whatever the feature
+    begun = starts[at]
+
+    def left_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = np.cumsum(values[order], axis=1)  # whole numbers: exact in any order
+        before = np.concatenate([np.zeros((len(run), 1)), run[:, starts[1:] - 1]], axis=1)
+        return run - before[:, at], np.add.reduceat(values[order[0]], starts)
+
+    left_rows, n = np.arange(1, len(node) + 1) - begun, rows[at]
+    left_gradient, g = left_of(gradient)
+    if weight is None:
+        left_weight, w = left_rows.astype(np.float64)[None], rows.astype(np.float64)
+    else:
+        left_weight, w = left_of(weight[inside].astype(np.float64))
+    ok = np.zeros(key.shape, dtype=bool)
+    ok[:, :-1] = key[:, 1:] != key[:, :-1]
+    least = max(s.least_rows, 1)
+    ok &= (left_rows >= least) & (n - left_rows >= least)
+    if s.least_weight:
+        ok &= (left_weight >= s.least_weight * weight_unit) & (w[at] - left_weight >= s.least_weight * weight_unit)
+
+    def worth(gradient, weight):
+        return (gradient / unit) ** 2 / np.maximum(weight / weight_unit + s.penalty, 1e-12)
+
+    gain = np.where(ok, worth(left_gradient, left_weight) + worth(g[at] - left_gradient, w[at] - left_weight) - worth(g, w)[at], 0.0)
+    feature = np.maximum.reduceat(gain, starts, axis=1).argmax(axis=0)
+    for i, (node_, start, j) in enumerate(zip(have, starts, feature)):
+        k = start + int(gain[j, start : start + rows[i]].argmax())
+        best = gain[j, k]
+        out[node_] = [
+            best if best > 1e-9 else 0.0, j, int(key[j, k]) % (BINS + 1), g[i], w[i], rows[i],
+            left_gradient[j, k], left_weight[j if weight is not None else 0, k], left_rows[k]]
+    return out
 
 
 class Growing:
@@ -285,19 +347,86 @@ def _start(s: Settings, mean: float) -> np.ndarray:
     return np.array([mean]) if s.classes == 1 else np.zeros(s.classes)
 
 
-def grow_in_task(s: Settings, codes: np.ndarray, label: np.ndarray, row: np.ndarray, start: np.ndarray, unit: float) -> list[list[Tree]]:
-    """All rounds of one model on rows that one task holds."""
+class _Sums:
+    """Sums of one tree's open nodes on rows that one task holds.
+
+    Features have as many bins as they use, one after the other. Of two children only the one with fewer rows is counted;
+    the other has what is left of their parent.
+    """
+
+    def __init__(self, codes: np.ndarray, widths: list[int]):
+        self.widths = np.array(widths)
+        self.ends = np.cumsum(self.widths)
+        self.places = codes.astype(np.int64) + (self.ends - self.widths)
+        self.feature = np.repeat(np.arange(len(widths)), self.widths)
+        self.base = np.repeat(self.ends - self.widths - 1, self.widths)  # the bin before each feature's first
+        self.held: dict[int, np.ndarray] = {}
+
+    def _counted(self, node: np.ndarray, nodes: int, values: list[np.ndarray | None]) -> np.ndarray:
+        inside = np.flatnonzero(node >= 0)
+        size = nodes * self.ends[-1]
+        index = (self.places[inside] + (node[inside] * self.ends[-1])[:, None]).ravel()
+        width = len(self.widths)
+        return np.stack([np.bincount(index, None if v is None else np.repeat(v[inside], width), minlength=size).reshape(nodes, -1) for v in values], axis=1)
+
+    def of(self, tree: Growing, leaf: np.ndarray, seen: np.ndarray, gradient: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+        """Open nodes x (gradients, rows, weights if these differ) x bins."""
+        parent = {c: n for n in range(len(tree.feature)) if tree.feature[n] >= 0 for c in (tree.left[n], tree.right[n])}
+        fewer = {n: min((tree.left[n], tree.right[n]), key=lambda c: tree.sums[c][2]) for n in set(map(parent.get, tree.open)) if n is not None}
+        wanted = sorted(fewer.values()) or list(tree.open)
+        place = np.full(len(tree.feature), -1)
+        place[wanted] = np.arange(len(wanted))
+        values = [gradient, None] if weight is None else [gradient, None, weight]
+        counted = dict(zip(wanted, self._counted(np.where(seen, place[leaf], -1), len(wanted), values)))
+        self.held = {n: counted[n] if n in counted else self.held[parent[n]] - counted[fewer[parent[n]]] for n in tree.open}
+        return np.stack([self.held[n] for n in tree.open])
+
+    def splits(self, sums: np.ndarray, unit: float, weight_unit: float, s: Settings) -> np.ndarray:
+        """The same splits as ``best_splits``."""
+        run = np.cumsum(sums, axis=2)
+        left = run - np.where(self.base >= 0, run[:, :, self.base], 0.0)
+        total = run[:, :, self.ends[0] - 1]
+        gradient, rows, weight = left[:, 0], left[:, 1], left[:, -1] if sums.shape[1] == 3 else left[:, 1]
+        g, n, w = total[:, 0, None], total[:, 1, None], (total[:, 2] if sums.shape[1] == 3 else total[:, 1])[:, None]
+        least = max(s.least_rows, 1)
+        ok = (rows >= least) & (n - rows >= least)
+        if s.least_weight:
+            ok &= (weight >= s.least_weight * weight_unit) & (w - weight >= s.least_weight * weight_unit)
+
+        def worth(gradient, weight):
+            out = weight / weight_unit
+            out += s.penalty
+            np.maximum(out, 1e-12, out=out)
+            return np.divide(np.square(gradient / unit), out, out=out)
+
+        gain = worth(gradient, weight)
+        gain += worth(g - gradient, w - weight)
+        gain -= worth(g, w)
+        gain[~ok] = 0.0
+        best, at = np.argmax(gain, axis=1), np.arange(len(gain))
+        found = gain[at, best]
+        feature = self.feature[best]
+        own = np.column_stack([np.where(found > 1e-9, found, 0.0), feature, best - self.base[best] - 1])
+        return np.column_stack([own, g, w, n, gradient[at, best], weight[at, best], rows[at, best]])
+
+
+def grow_in_task(s: Settings, codes: np.ndarray, widths: list[int], label: np.ndarray, row: np.ndarray, start: np.ndarray, unit: float) -> list[list[Tree]]:
+    """All rounds of one model on rows that one task holds; ``widths`` are the numbers of bins."""
     scores, rounds = np.tile(start, (len(codes), 1)), []
+    by_feature, sums = np.ascontiguousarray(codes.T), _Sums(codes, widths)
     for step in range(s.rounds):
         seen, trees = sampled(s, row, step), []
         for output in range(s.classes):
             gradient, weight = residuals(s, label, scores, unit, output)
             tree = Growing(s, unit, 1.0 if weight is None else unit)
             while tree.open:
-                place = np.full(len(tree.feature), -1)
-                place[tree.open] = np.arange(len(tree.open))
-                node = np.where(seen, place[tree.partial().leaves_of(codes)], -1)
-                tree.take(best_splits(node_sums(codes, node, len(tree.open), gradient, weight), unit, tree.weight_unit, s))
+                leaf = tree.partial().leaves_of(codes)
+                if len(codes) < SORT_ROWS * len(widths):
+                    place = np.full(len(tree.feature), -1)
+                    place[tree.open] = np.arange(len(tree.open))
+                    tree.take(sorted_splits(by_feature, np.where(seen, place[leaf], -1), len(tree.open), gradient, weight, unit, tree.weight_unit, s))
+                else:
+                    tree.take(sums.splits(sums.of(tree, leaf, seen, gradient, weight), unit, tree.weight_unit, s))
             trees.append(tree.done())
         for output, tree in enumerate(trees):
             scores[:, output] += tree.value[tree.leaves_of(codes)]
@@ -316,16 +445,18 @@ def _matrix(codes: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
 
 
-def _fit_in_tasks(coded: DataFrame, models: list[Settings], starts, units) -> list[list[list[Tree]]]:
+def _fit_in_tasks(coded: DataFrame, models: list[Settings], starts, units, limits) -> list[list[list[Tree]]]:
+    widths = {k: [len(cut) + 1 for cut in own] for k, own in limits.items()}
+
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
         m = int(key[0])
         frame = frame.sort_values("row")
-        grown = grow_in_task(models[m], _matrix(frame["codes"]), frame["label"].to_numpy(), frame["row"].to_numpy(), starts[m], units[m])
+        grown = grow_in_task(models[m], _matrix(frame["codes"]), widths[models[m].set], frame["label"].to_numpy(), frame["row"].to_numpy(), starts[m], units[m])
         rows = [_tree_row(m, step, k, t) for step, trees in enumerate(grown) for k, t in enumerate(trees)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TREE.split(", ")])
 
     of_set = F.coalesce(*[F.when(F.col("set") == k, F.array(*[F.lit(i) for i, m in enumerate(models) if m.set == k])) for k in {m.set for m in models}])
-    dealt = coded.withColumn("model", F.explode(of_set)).repartition(len(models), "model")
+    dealt = coded.withColumn("model", F.explode(of_set)).repartitionByRange(len(models), "model")
     found = dealt.groupBy("model").applyInPandas(grow, TREE).collect()  # the fitted trees
     out = [[[None] * m.classes for _ in range(m.rounds)] for m in models]
     for r in found:
@@ -337,7 +468,7 @@ SUMS = "tree INT, node INT, block INT, sums BINARY"
 FOUND = "tree INT, node INT, " + ", ".join(f"{c} DOUBLE" for c in SPLIT)
 
 
-def _fit_by_levels(coded: DataFrame, models: list[Settings], starts, units) -> list[list[list[Tree]]]:
+def _fit_by_levels(coded: DataFrame, models: list[Settings], starts, units, limits) -> list[list[list[Tree]]]:
     """One job per level for all models together."""
     spark = coded.sparkSession
     places = np.cumsum([0, *[m.classes for m in models]])  # of each model's scores in a row's array
@@ -459,5 +590,5 @@ def fit_boosted(rows: DataFrame, models: Sequence[Settings], in_task_rows: int =
     spread = {k: max(abs(r["high"] - r["mean"]), abs(r["low"] - r["mean"]), 1e-12) for k, r in facts.items()}
     units = [UNIT / spread[m.set] if m.classes == 1 else UNIT for m in models]
     grow = _fit_in_tasks if max(counts.values()) <= in_task_rows else _fit_by_levels
-    trees = grow(coded, models, starts, units)
+    trees = grow(coded, models, starts, units, limits)
     return {(m.set, m.name): Boosted(m, start, limits[m.set], own) for m, start, own in zip(models, starts, trees)}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,15 +91,49 @@ class Scaling:
         return df.withColumn(out, F.array(*[self.scaled(df, c) for c in self.cols]))
 
 
+def _quantile(ordered: np.ndarray, p: float) -> float:
+    """Interpolated between the two nearest ranks."""
+    h = (len(ordered) - 1) * p
+    low, high = int(np.floor(h)), int(np.ceil(h))
+    return float(ordered[low]) if low == high else float((high - h) * ordered[low] + (h - low) * ordered[high])
+
+
+def _quartiles(rows: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(np.frombuffer(b"".join(frame["part"]), np.float64))
+        median = _quantile(values, 0.5)
+        filled = np.sort(np.append(values, np.full(rows - len(values), median)))
+        return pd.DataFrame({"feature": [frame["feature"].iloc[0]], "median": [median], "low": [_quantile(filled, 0.25)], "high": [_quantile(filled, 0.75)]})
+
+    return run
+
+
+def _columns_apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The known values of each feature of a batch as one row."""
+    for frame in frames:
+        if len(frame):
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in frame["x"]])
+            parts = [x[~np.isnan(x[:, j]), j] for j in range(x.shape[1])]
+            yield pd.DataFrame({"feature": range(x.shape[1]), "part": [p.tobytes() for p in parts]})
+
+
 def fit_scaling(train: DataFrame, cols: Sequence[str], rows: int | None = None) -> Scaling:
-    """Quartiles are taken of the median-filled column, as imputation precedes scaling."""
+    """Quartiles are taken of the median-filled column, as imputation precedes scaling. NaN counts as missing.
+
+    Where a column's values fit a task, each column is ordered in one; otherwise order statistics go by ranged bins.
+    """
     cols = list(cols)
     rows = train.count() if rows is None else rows
-    small = rows * max(len(cols), 1) <= SMALL_GROUP_ROWS
-    train = train.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    half = quantiles(train, [], cols, [0.5], small).first()
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    if cols and rows * len(cols) <= SMALL_GROUP_ROWS:
+        apart = train.select(F.array(*known.values()).alias("x")).mapInPandas(_columns_apart, "feature INT, part BINARY")
+        found = apart.groupBy("feature").applyInPandas(_quartiles(rows), "feature INT, median DOUBLE, low DOUBLE, high DOUBLE").collect()  # a row per feature
+        by_col = {cols[r["feature"]]: r for r in found}
+        return Scaling(cols, {c: by_col[c]["median"] for c in cols}, {c: by_col[c]["high"] - by_col[c]["low"] or 1.0 for c in cols}, rows)
+    train = train.select(*[v.alias(c) for c, v in known.items()])
+    half = quantiles(train, [], cols, [0.5], False).first()
     median = {c: float(half[f"{c}_q0"]) for c in cols}
     filled = train.select(*[F.coalesce(F.col(c), F.lit(median[c])).alias(c) for c in cols])
-    quart = quantiles(filled, [], cols, [0.25, 0.75], small).first()
+    quart = quantiles(filled, [], cols, [0.25, 0.75], False).first()
     width = {c: (float(quart[f"{c}_q1"]) - float(quart[f"{c}_q0"])) or 1.0 for c in cols}
     return Scaling(cols, median, width, rows)

@@ -167,7 +167,7 @@ def _fit_in_tasks(rows: DataFrame, models: list[Settings], units: list[float]) -
     of_set = F.coalesce(*[
         F.when(F.col("set") == k, F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("block")) for m, s, b in parts if s.set == k])) for k in {s.set for s in models}])
     dealt = rows.withColumn("part", F.explode(of_set)).select("part.model", "part.block", "row", "features", "label")
-    found = dealt.repartition(len(parts), "model", "block").groupBy("model", "block").applyInPandas(grow, TREE).collect()  # the fitted trees
+    found = dealt.repartitionByRange(len(parts), "model", "block").groupBy("model", "block").applyInPandas(grow, TREE).collect()  # the fitted trees
     out: list[list] = [[None] * s.trees for s in models]
     for r in found:
         out[r["model"]][r["tree"]] = Tree(*[np.array(r[c]) for c in ("feature", "cut", "left", "right", "value")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -83,6 +84,7 @@ def train_job(
     scored = stored(scored, "scored")
     part = {n: scored.filter(F.col("split") == n) for n in ("train", "val")}
     engine = Engine(features, expected, anomaly, health_scores(scored).persist())
-    return Training(
-        engine, fit_decision(part["train"], part["val"], candidates=classifiers), fit_faults(part["train"]), bounds, scored
-    )
+    with ThreadPoolExecutor(2) as pool:
+        decision = pool.submit(fit_decision, part["train"], part["val"], candidates=classifiers)
+        faults = pool.submit(fit_faults, part["train"])
+        return Training(engine, decision.result(), faults.result(), bounds, scored)
