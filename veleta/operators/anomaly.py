@@ -1,6 +1,6 @@
 """Anomaly ensemble: six detectors, training-based normalisation, weighted score, consensus.
 
-Fits are distributed steps over the whole training table: moments for the covariance detectors, sums of sub-gradients for
+Fits are distributed steps over the whole training table: moments for the covariance detectors, extreme points of the dual for
 the one-class SVM, for each isolation tree its own 256 rows out of all, and joins for the local outlier factor. The limits of
 normal scores come from every training row. Scoring is one Arrow pass over the rows with the fitted arrays broadcast, whose
 size depends on the number of features, and one join for the local outlier factor.
@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
 
 log = logging.getLogger(__name__)
 TREES, TREE_ROWS = 100, 256
-FOURIER, NU, SVM_STEPS = 128, 0.05, 30
-SUPPORT, C_STEPS = 0.8, 10
+FOURIER, NU = 128, 0.05
+SVM_GAP, SVM_STEPS = 1e-3, 300  # duality gap as a share of the objective; steps after which an open gap is reported
+SUPPORT, STARTS, TRIAL_STEPS, BEST, C_STEPS = 0.8, 5, 2, 2, 50
+SETTLED = 1e-6  # change of the log determinant
 
 
 # --- isolation forest --------------------------------------------------------------------
@@ -111,8 +114,32 @@ def fourier(model: dict, x: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / FOURIER) * np.cos(x @ model["waves"] + model["shift"])
 
 
-def fit_ocsvm(train: DataFrame, width: int, variance: float) -> dict:
-    """nu-one-class hinge by distributed sub-gradient steps; a step returns one row per task."""
+def _nearest_to_origin(points: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points and shares of the nearest point of their hull to the origin, from shares that are good for all but the last."""
+    while True:
+        n = len(points)
+        system = np.zeros((n + 1, n + 1))
+        system[0, 1:] = system[1:, 0] = 1.0
+        system[1:, 1:] = points @ points.T
+        flat = np.linalg.lstsq(system, np.eye(n + 1)[0], rcond=None)[0][1:]  # nearest point of the plane through all
+        if (flat > 1e-12).all():
+            return points, flat
+        out = flat <= 1e-12
+        step = np.min(shares[out] / np.maximum(shares[out] - flat[out], 1e-300))
+        shares = shares + min(step, 1.0) * (flat - shares)
+        keep = shares > 1e-12
+        keep[np.argmin(shares)] = False  # at least one goes
+        points, shares = points[keep], shares[keep] / shares[keep].sum()
+
+
+def fit_ocsvm(train: DataFrame, width: int, variance: float, rows: int | None = None, nu: float = NU, tolerance: float = SVM_GAP) -> dict:
+    """One-class SVM of parameter nu, by extreme points of its dual.
+
+    The dual's points are means of the mapped rows with at most 1 / (nu n) of each; the solution is the one nearest to the
+    origin. A step finds the extreme point that lies lowest in the present direction, the mean of the nu n lowest rows,
+    by one order statistic and one sum; the driver holds these points only and moves to the nearest point of their hull. The
+    duality gap bounds what is left to gain, and the steps stop by it. Reports ``steps``, ``gap`` and ``rho``.
+    """
     rng = np.random.default_rng(42)
     gamma = 1.0 / max(width * variance, 1e-12)
     model = {
@@ -120,42 +147,57 @@ def fit_ocsvm(train: DataFrame, width: int, variance: float) -> dict:
         "shift": rng.uniform(0.0, 2.0 * np.pi, FOURIER),
     }
     spark = train.sparkSession
+    n = train.count() if rows is None else rows
+    lowest = max(nu * n, 1.0)  # rows that an extreme point is the mean of
+    last = int(np.ceil(lowest)) - 1  # rank of the row that may count in part
     mapped = train.select("features").mapInPandas(
         lambda it: (pd.DataFrame({"z": list(fourier(model, np.stack(p["features"].to_numpy())))}) for p in it if len(p)),
         "z ARRAY<DOUBLE>",
     ).persist()
 
-    def step_sums(w: np.ndarray, rho: float) -> tuple[np.ndarray, int, int]:
-        """Sum of the mapped rows below the margin, their count and the count of all rows."""
-        shared = spark.sparkContext.broadcast((w, rho))
+    def extreme(w: np.ndarray) -> tuple[np.ndarray, float]:
+        """Mean of the lowest rows along ``w``, and how high they reach."""
+        shared = spark.sparkContext.broadcast(w)
+
+        @F.pandas_udf("double")
+        def height(z: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(z.to_numpy()) @ shared.value if len(z) else [], dtype=float)
+
+        high = mapped.select(height("z").alias("h"))
+        cut = float(quantiles(high, [], ["h"], [last / max(n - 1, 1)], n <= SMALL_GROUP_ROWS).first()["h_q0"])
+        edge = 1e-9 * (1.0 + abs(cut))
 
         def partial(batches):
-            w, rho = shared.value
-            total, below, rows = np.zeros(FOURIER), 0, 0
+            sums, counts = np.zeros((2, FOURIER)), np.zeros(2, dtype=np.int64)
             for pdf in batches:
                 z = np.stack(pdf["z"].to_numpy())
-                inside = z @ w < rho
-                total, below, rows = total + z[inside].sum(axis=0), below + int(inside.sum()), rows + len(z)
-            yield pd.DataFrame({"total": [total], "below": [below], "rows": [rows]})
-
-        parts = mapped.mapInPandas(partial, "total ARRAY<DOUBLE>, below LONG, rows LONG").collect()
+                h = z @ shared.value
+                for i, inside in enumerate((h < cut - edge, np.abs(h - cut) <= edge)):
+                    sums[i], counts[i] = sums[i] + z[inside].sum(axis=0), counts[i] + int(inside.sum())
+            yield pd.DataFrame({"below": [sums[0]], "tied": [sums[1]], "n_below": [counts[0]], "n_tied": [counts[1]]})
+
+        parts = mapped.mapInPandas(partial, "below ARRAY<DOUBLE>, tied ARRAY<DOUBLE>, n_below LONG, n_tied LONG")
+        each = [F.sum(F.col(k)[i]).alias(f"{k}{i}") for k in ("below", "tied") for i in range(FOURIER)]
+        r = parts.agg(*each, F.sum("n_below").alias("n_below"), F.sum("n_tied").alias("n_tied")).first()
+        below, tied = (np.array([r[f"{k}{i}"] for i in range(FOURIER)]) for k in ("below", "tied"))
         shared.unpersist()
-        return (
-            np.sum([np.asarray(p["total"]) for p in parts], axis=0),
-            sum(p["below"] for p in parts),
-            sum(p["rows"] for p in parts),
-        )
-
-    total, _, n = step_sums(np.zeros(FOURIER), np.inf)
-    w = total / n
-    rho = float(w @ w)
-    for step in range(1, SVM_STEPS + 1):
-        pull, below, n = step_sums(w, rho)
-        rate = 1.0 / (step + 1)
-        w = w - rate * (w - pull / (NU * n))
-        rho = rho + rate * 0.1 * abs(rho) * (1.0 - below / (NU * n))
+        return (below + (lowest - r["n_below"]) / max(r["n_tied"], 1) * tied) / lowest, cut
+
+    start = mapped.agg(*[F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(FOURIER)]).first()
+    w = np.array(list(start))
+    points, shares, gap, rho, steps = np.empty((0, FOURIER)), np.empty(0), np.inf, 0.0, 0
+    for steps in range(1, SVM_STEPS + 1):
+        found, rho = extreme(w)
+        gap = float(w @ (w - found)) / max(float(w @ w), 1e-300)
+        if len(points) and gap <= tolerance:
+            break
+        points, shares = np.vstack([points, found]), np.append(shares, 0.0 if len(points) else 1.0)
+        points, shares = _nearest_to_origin(points, shares)
+        w = shares @ points
     mapped.unpersist()
-    return {**model, "w": w}
+    if gap > tolerance:
+        log.warning("one-class SVM: a gap of %.2g of the objective was left after %d steps", gap, steps)
+    return {**model, "w": w, "rho": rho, "steps": steps, "gap": gap}
 
 
 def score_ocsvm(model: dict, x: np.ndarray) -> np.ndarray:
@@ -186,31 +228,110 @@ def score_mahalanobis(model: dict, x: np.ndarray) -> np.ndarray:
     return np.sqrt(squared_distances(model, x))
 
 
-def fit_elliptic(train: DataFrame, rows: int) -> dict:
-    """Concentration steps: moments of the 80 % nearest rows until the determinant settles."""
-    model, last = fit_mahalanobis(train), np.inf
-    for _ in range(C_STEPS):
-        with_distance = train.withColumn("_d", _distance_udf(train, model)(F.col("features"))).persist()
-        cut = quantiles(with_distance, [], ["_d"], [SUPPORT], rows <= SMALL_GROUP_ROWS).first()["_d_q0"]
-        mean, cov = vector_moments(with_distance.filter(F.col("_d") <= cut))
-        cov = cov + np.eye(len(mean)) * 1e-5
-        size = np.linalg.slogdet(cov)[1]
-        model = {"mean": mean, "inverse": np.linalg.pinv(cov)}
-        with_distance.unpersist()
-        if abs(last - size) < 1e-3:
-            break
-        last = size
-    return model
+def _chi_square(degrees: int, z: float) -> float:
+    """Quantile of the chi-square distribution at the normal deviate ``z`` (Wilson and Hilferty)."""
+    return degrees * (1.0 - 2.0 / (9.0 * degrees) + z * np.sqrt(2.0 / (9.0 * degrees))) ** 3
 
 
-def _distance_udf(df: DataFrame, model: dict):
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _distances(df: DataFrame, models: list[dict]) -> DataFrame:
+    """``_d``: squared distances by each model."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def distance(features: pd.Series) -> pd.Series:
-        return pd.Series(squared_distances(shared.value, np.stack(features.to_numpy())))
-
-    return distance
+        x = np.stack(features.to_numpy()) if len(features) else np.empty((0, 1))
+        return pd.Series(list(np.column_stack([squared_distances(m, x) for m in shared.value])) if len(x) else [], dtype=object)
+
+    return df.select("features", distance(F.col("features")).alias("_d"))
+
+
+def _moments_within(measured: DataFrame, cuts: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the rows within each cut, all in one pass; sums meet in two levels."""
+
+    def partial(frames):
+        held = [0.0] * len(cuts)
+        width = 0
+        for frame in frames:
+            if len(frame):
+                x, d = np.stack(frame["features"].to_numpy()), np.stack(frame["_d"].to_numpy())
+                width = x.shape[1]
+                for i, cut in enumerate(cuts):
+                    own = np.column_stack([np.ones((d[:, i] <= cut).sum()), x[d[:, i] <= cut]])
+                    held[i] = held[i] + own.T @ own
+        if width:
+            yield pd.DataFrame({"start": range(len(cuts)), "part": TaskContext.get().partitionId() % 64, "sums": [np.asarray(h).tobytes() for h in held]})
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(b) for b in frame.sort_values("part")["sums"]], axis=0)
+        return pd.DataFrame({"start": [frame["start"].iloc[0]], "part": [frame["part"].iloc[0]], "sums": [total.tobytes()]})
+
+    schema = "start INT, part INT, sums BINARY"
+    parts = measured.mapInPandas(partial, schema).groupBy("start", "part").applyInPandas(added, schema)
+    out = []
+    for r in parts.groupBy("start").applyInPandas(added, schema).orderBy("start").collect():  # a row per start
+        sums = np.frombuffer(r["sums"])
+        sums = sums.reshape(int(np.sqrt(len(sums))), -1)
+        n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+        out.append((mean, (sums[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)))
+    return out
+
+
+def _covariance_model(mean: np.ndarray, cov: np.ndarray, scale: float = 1.0) -> dict:
+    cov = cov + np.eye(len(mean)) * 1e-5
+    return {"mean": mean, "inverse": np.linalg.pinv(cov * scale), "size": float(np.linalg.slogdet(cov)[1])}
+
+
+def _small_starts(train: DataFrame, rows: int, count: int, width: int) -> list[dict]:
+    """Models of a few rows each: for every start those of the smallest hashes."""
+    size = width + 1
+    share = min(1.0, (2.0 * size + 200.0) / max(rows, 1))
+    below = int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1
+    keys = ["station_id", "timestamp", "seq"]
+    draws = F.filter(F.sequence(F.lit(1), F.lit(count)), lambda t: F.xxhash64(*keys, t) <= F.lit(below))
+    offered = train.select("features", *keys, F.explode(draws).alias("start")).withColumn("rank", F.xxhash64(*keys, "start"))
+    chosen = offered.withColumn("_n", F.row_number().over(Window.partitionBy("start").orderBy("rank"))).filter(F.col("_n") <= size)
+    found: dict[int, list] = {}
+    for r in chosen.select("start", "rank", "features").orderBy("start", "rank").collect():  # STARTS times width + 1 rows
+        found.setdefault(r["start"], []).append(r["features"])
+    return [_covariance_model(np.mean(x, axis=0), np.cov(np.array(x).T)) for x in map(np.array, found.values()) if len(x) > 1]
+
+
+def fit_elliptic(train: DataFrame, rows: int, support: float = SUPPORT, starts: int = STARTS) -> dict:
+    """Covariance of the share of rows whose determinant is smallest, by concentration steps from several starts.
+
+    One start is the whole table, the others a few rows each. All take two steps together, a pass over the rows for the
+    cuts and one for the moments; the best two go on until their determinants settle. The result is scaled to the
+    median distance of a normal distribution, and its moments taken once more of all rows within its 97.5 % quantile. Reports
+    ``steps`` and ``settled``.
+    """
+    whole = fit_mahalanobis(train)
+    width = len(whole["mean"])
+    models = [whole, *(_small_starts(train, rows, starts - 1, width) if starts > 1 else [])]
+    small = rows * starts <= SMALL_GROUP_ROWS
+    sizes, steps, settled = [np.inf] * len(models), 0, False
+    while steps < C_STEPS and not settled:
+        measured = _distances(train, models).persist()
+        each = measured.select("features", *[F.col("_d")[i].alias(f"d{i}") for i in range(len(models))])
+        cut = quantiles(each, [], [f"d{i}" for i in range(len(models))], [support], small).first()
+        models = [_covariance_model(*m) for m in _moments_within(measured, [cut[f"d{i}_q0"] for i in range(len(models))])]
+        measured.unpersist()
+        steps += 1
+        order = np.argsort([m["size"] for m in models], kind="stable")
+        changes = [abs(sizes[i] - models[i]["size"]) for i in range(len(models))]
+        sizes = [m["size"] for m in models]
+        if steps == TRIAL_STEPS:
+            models, sizes = [models[i] for i in order[:BEST]], [sizes[i] for i in order[:BEST]]
+        elif steps > TRIAL_STEPS:
+            settled = max(changes) <= SETTLED
+    if not settled:
+        log.warning("robust covariance did not settle in %d steps", steps)
+    best = min(models, key=lambda m: m["size"])
+    measured = _distances(train, [best]).persist()
+    half = quantiles(measured.select(F.col("_d")[0].alias("d")), [], ["d"], [0.5], small).first()["d_q0"]
+    scale = max(half / _chi_square(width, 0.0), 1e-12)
+    final = _covariance_model(*_moments_within(measured, [scale * _chi_square(width, 1.959964)])[0])
+    measured.unpersist()
+    return {**final, "steps": steps, "settled": settled}
 
 
 # --- the ensemble ------------------------------------------------------------------------
@@ -313,7 +434,7 @@ def fit_anomaly(train: DataFrame, detectors: Sequence[str] = ("lof", *SCORERS))
     fits = {
         "isolation_forest": lambda: fit_isolation_forest(ready),
         "lof": lambda: local_outliers.fit_lof(ready, scaling.rows),
-        "one_class_svm": lambda: fit_ocsvm(ready, len(cols), entry_variance(ready)),
+        "one_class_svm": lambda: fit_ocsvm(ready, len(cols), entry_variance(ready), scaling.rows),
         "elliptic_envelope": lambda: fit_elliptic(ready, scaling.rows),
         "mahalanobis": lambda: fit_mahalanobis(ready),
     }
