@@ -247,8 +247,23 @@ def _train(s, d):
 
 
 TRAIN_GRID = f"{C.TRAIN}, tr AS (SELECT grid.* FROM grid, cut WHERE timestamp < v)"
-_add("feature_select", lambda s, d: FP.filled_counts(_train(s, d), FP.anomaly_features(C.grid(s, d))),
-     f"WITH {TRAIN_GRID} SELECT " + ", ".join(f"count({c}) AS {c}" for c in SENSORS) + " FROM tr")
+
+
+def _selected(s, d):
+    """Filled values per candidate of the feature table's training part; no deviation counts where the spread is but rounding."""
+    rows = C.train_rows(C.grid_features(s, d), C.grid_split(s, d))
+    rows = rows.withColumns({f"{c}_roll_zscore": F.when(F.col(f"{c}_roll6_std") > 1e-6, F.col(f"{c}_roll_zscore")) for c in SENSORS})
+    return FP.filled_counts(rows, FP.anomaly_features(rows))
+
+
+PER_SENSOR = [
+    "", "_clean", "_baseline", "_deviation", "_robust_z", "_lag1", "_lag2", "_lag3", "_delta", "_roll3_mean", "_roll3_std", "_roll6_mean", "_roll6_std"]
+FILLED = {f"{c}{k}": f"{c}{k}" for c in SENSORS for k in PER_SENSOR}
+FILLED |= {f"neighbor_{c}_{k}": f"neighbor_{c}_{k}" for c in SENSORS for k in ("mean", "std")}
+FILLED |= {c: c for c in ("hour", "day_of_week", "day_of_year", "month", "time_since_prev_obs", "nearest_station_distance_km", "neighbor_agreement_score")}
+_add("feature_select", _selected,
+     f"WITH {C.FEATURES} SELECT " + ", ".join(f"count(feat.{c}) AS {name}" for name, c in FILLED.items()) + ", "
+     + ", ".join(f"count(*) FILTER ({c}_roll6_std > 1e-6) AS {c}_roll_zscore" for c in SENSORS) + " FROM feat, cut WHERE feat.timestamp < v")
 
 
 def _imputed(s, d):
