@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from veleta.catalog import common as C
@@ -148,6 +150,27 @@ _add("backfill_chunks", lambda s, d: store.backfill_chunks(_shipments(s, d), STA
      round(least(100.0::DOUBLE, least((chunk + 1) * 30, days) * 100.0::DOUBLE / days), 1) AS progress FROM n LEFT JOIN f USING (chunk), t""")
 
 
+
+def _backfill(s, d):
+    """Into a fresh store: stopped within a chunk, then taken up to the end of the span."""
+    fresh = store.ObservationStore(s, scratch_dir(s, "backfill"))
+    first, stop, last = (dt.datetime.fromisoformat(t) for t in (START, "1997-07-15 00:00:00", END))
+    provider = lambda first, after: FL.filter_time_station(_shipments(s, d), None, first, after)
+    store.Backfill(fresh, first, stop).run(provider)
+    whole = store.Backfill(fresh, first, last)
+    whole.run(provider)
+    return whole.progress()
+
+
+_add("backfill", _backfill,
+     f"""WITH {SHIP}, u AS (SELECT DISTINCT station_id, timestamp FROM ship WHERE timestamp >= '{START}' AND timestamp < '{END}'),
+     c AS (SELECT *, floor((epoch_us(timestamp) - epoch_us(TIMESTAMP '{START}')) / (30 * 86400000000))::BIGINT AS chunk FROM u),
+     f AS (SELECT chunk, count(*) AS k FROM (SELECT station_id, min(chunk) AS chunk FROM c GROUP BY 1) GROUP BY 1), n AS (SELECT chunk, count(*) AS k FROM c GROUP BY 1),
+     t AS (SELECT date_diff('day', TIMESTAMP '{START}', TIMESTAMP '{END}') AS days), g AS (SELECT unnest(generate_series(0, ((days - 1) // 30)::BIGINT)) AS chunk, days FROM t)
+     SELECT chunk, coalesce(n.k, 0) AS new_records, (sum(coalesce(n.k, 0)) OVER (ORDER BY chunk))::BIGINT AS records_inserted, (sum(coalesce(f.k, 0)) OVER (ORDER BY chunk))::BIGINT AS stations_discovered,
+     round(least(100.0::DOUBLE, least((chunk + 1) * 30, days) * 100.0::DOUBLE / days), 1) AS progress FROM g LEFT JOIN n USING (chunk) LEFT JOIN f USING (chunk)""")
+
+
 def _fixed(s, d):
     """A tenth of the stations sits at (0, 0) and one is far north before the fix."""
     rows = C.obs(s, d).withColumns(

@@ -35,14 +35,25 @@ def agg_missing(df: DataFrame) -> DataFrame:
     return _rows_of(row, "column_name", [(c, [F.col(c), share(c)]) for c in df.columns], ["nulls", "pct"])
 
 
+BITMAP_BITS = 32_768  # of one bitmap that Spark's functions build
+BITMAPS = 4_096  # 16 MB in all
+
+
 def repeated_rows(df: DataFrame) -> DataFrame:
     """Distinct rows that occur more than once, with their number ``_n``.
 
-    Two 64-bit hashes per row are counted first; whole rows are compared, and shuffled, only where both repeat.
+    Row hashes are counted first. Those that occur twice set bits of a filter of at most 16 MB, which every task gets, so a
+    row without a repeat is hardly ever shuffled. Whole rows are compared for the others, and equal ones are counted within a
+    task before they travel: a row that a third of the table repeats is one entry per task.
     """
-    hashed = df.withColumns({"_h1": F.xxhash64(*df.columns), "_h2": F.xxhash64(F.lit(1), *df.columns)})
-    twice = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    suspects = hashed.join(twice, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    twice = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    place = F.pmod("_h", F.lit(BITMAP_BITS * BITMAPS))
+    bucket, bit = F.floor(place / BITMAP_BITS).cast("int").alias("_bucket"), (place % BITMAP_BITS).alias("_bit")
+    bits = twice.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    tested = hashed.select(*df.columns, bucket, bit).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    suspects = tested.filter(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)
     return suspects.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,6 +184,98 @@ def backfill(store: ObservationStore, provider, start: dt.date, end: dt.date, ch
     return out
 
 
+BACKFILL_GROUP = 24  # chunks that one commit inserts together
+
+
+class Backfill:
+    """A chunked backfill that can be stopped anywhere and run again.
+
+    Next to the store lie two logs with a row per chunk and commit: ``begun`` with the rows that the store held before, written
+    ahead of the insert, and ``done`` with those it held after. A chunk is done up to the time its log row names, so a
+    span that ends within a chunk is taken up there later. Several missing chunks are read and inserted by one job;
+    existing keys are left alone, so a commit that is run again inserts only what is missing and new rows count right.
+    """
+
+    def __init__(self, store: ObservationStore, start: dt.datetime, end: dt.datetime, chunk_days: int = 30) -> None:
+        if end <= start or chunk_days < 1:
+            raise ValueError("an empty span or chunk")
+        self.store, self.spark, self.start, self.end, self.days = store, store.spark, start, end, chunk_days
+        self.logs = f"{store.path}-backfill"
+
+    def chunks(self) -> list[tuple[int, dt.datetime, dt.datetime]]:
+        """Number, first moment and end of every chunk."""
+        step = dt.timedelta(days=self.days)
+        count = -((self.start - self.end) // step)
+        return [(i, self.start + i * step, min(self.end, self.start + (i + 1) * step)) for i in range(count)]
+
+    def _log(self, name: str) -> DataFrame:
+        schema = "chunk LONG, upto TIMESTAMP_NTZ, held LONG"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.logs}/{name}")
+        except AnalysisException as error:  # only a backfill without a first commit is empty
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def missing(self) -> list[tuple[int, dt.datetime, dt.datetime]]:
+        """Chunks that are not done up to their end; the driver sees one row per chunk."""
+        done = {r["chunk"]: r["upto"] for r in self._log("done").groupBy("chunk").agg(F.max("upto").alias("upto")).collect()}
+        return [c for c in self.chunks() if c[0] not in done or done[c[0]] < c[2]]
+
+    def _chunk(self) -> Column:
+        from veleta.operators.filters import time_literal
+        from veleta.operators.series import micros
+
+        return F.floor((micros(F.col("timestamp")) - micros(time_literal(self.start))) / F.lit(self.days * 86_400_000_000))
+
+    def _inside(self, df: DataFrame, first: dt.datetime, after: dt.datetime) -> DataFrame:
+        from veleta.operators.filters import time_literal
+
+        return filter_time_station(df, None, first, None).filter(F.col("timestamp") < time_literal(after))
+
+    def _write(self, name: str, group: list[tuple[int, dt.datetime, dt.datetime]]) -> None:
+        stored = self._inside(self.store.read(start=group[0][1], end=group[-1][2]), group[0][1], group[-1][2])
+        held = stored.groupBy(self._chunk().alias("chunk")).agg(F.count(F.lit(1)).alias("held"))
+        wanted = self.spark.createDataFrame([(n, after) for n, _, after in group], "chunk LONG, upto TIMESTAMP_NTZ")
+        rows = wanted.join(held, "chunk", "left").select("chunk", "upto", F.coalesce("held", F.lit(0)).alias("held"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.logs}/{name}")  # a row per chunk
+
+    def run(self, provider: Callable[[dt.datetime, dt.datetime], DataFrame], group: int = BACKFILL_GROUP) -> int:
+        """Insert what is missing and return the new rows; ``provider(first, after)`` gives the observations of a span."""
+        missing, new = self.missing(), 0
+        for i in range(0, len(missing), group):
+            part = missing[i : i + group]
+            first, after = part[0][1], part[-1][2]
+            rows = self._inside(provider(first, after), first, after)
+            if len(part) < part[-1][0] - part[0][0] + 1:  # chunks between them are done
+                rows = rows.filter(self._chunk().isin([c[0] for c in part]))
+            self._write("begun", part)
+            new += self.store.insert_ignore(rows)
+            self._write("done", part)
+        return new
+
+    def progress(self) -> DataFrame:
+        """Per finished chunk its new rows, running totals of rows and of stations first seen, and percent."""
+        from pyspark.sql import Window
+
+        before = self._log("begun").groupBy("chunk").agg(F.min("held").alias("before"))
+        done = self._log("done").groupBy("chunk").agg(F.max("held").alias("after"), F.max("upto").alias("upto"))
+        held = self._inside(self.store.read(start=self.start, end=self.end), self.start, self.end)
+        found = (
+            held.groupBy("station_id").agg(F.min(self._chunk()).alias("chunk"))
+            .groupBy("chunk").agg(F.count(F.lit(1)).alias("found"))
+        )
+        so_far = Window.partitionBy(F.lit(1)).orderBy("chunk")  # one row per chunk
+        days = max((self.end - self.start).days, 1)
+        elapsed = F.least((F.col("chunk") + 1) * self.days, F.lit((self.end - self.start).days))
+        new = F.col("after") - F.col("before")
+        return done.join(before, "chunk").join(found, "chunk", "left").select(
+            "chunk", new.alias("new_records"), F.sum(new).over(so_far).alias("records_inserted"),
+            F.sum(F.coalesce("found", F.lit(0))).over(so_far).alias("stations_discovered"),
+            F.least(F.lit(100.0), F.round(elapsed * 100.0 / days, 1)).alias("progress"),
+        )
+
+
 def backfill_chunks(df: DataFrame, start, end, chunk_days: int = 30) -> DataFrame:
     """Progress of a chunked backfill: per chunk its new rows, running totals and percent.
 
