@@ -58,3 +58,21 @@ def test_covariance_does_not_depend_on_partitions(spark):
     x = np.random.default_rng(9).normal(size=(400, 3))
     a, b = (A.fit_elliptic(table(spark, x, parts), 400) for parts in (1, 5))
     assert np.allclose(a["mean"], b["mean"]) and np.allclose(a["inverse"], b["inverse"]) and a["settled"]
+
+
+def test_covariance_settles_where_variances_lie_far_apart(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 6)) @ rng.normal(size=(6, 6))
+    x[:, 1] = x[:, 0] + rng.normal(scale=1e-3, size=600)
+    x[:, 4] = 0.25  # constant
+    x[rng.choice(600, 40, replace=False), 5] *= 1e7
+    model = A.fit_elliptic(table(spark, x), 600, starts=2)
+    assert model["settled"] and model["steps"] < A.C_STEPS
+    for before, after in zip(model["logs"][A.TRIAL_STEPS :], model["logs"][A.TRIAL_STEPS + 1 :]):
+        assert all(b <= a + 1e-6 for a, b in zip(before, after))
+    d = A.squared_distances(model, x)
+    assert set(np.argsort(d)[-30:]) <= set(np.flatnonzero(np.abs(x[:, 5]) > 1e4))
+    # units do not matter
+    units = np.array([1e-4, 1.0, 30.0, 1.0, 5.0, 1e3])
+    again = A.fit_elliptic(table(spark, x * units), 600, starts=2)
+    assert np.allclose(A.squared_distances(again, x * units), d, rtol=1e-4)
