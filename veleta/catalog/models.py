@@ -9,7 +9,7 @@ from veleta.fixed_values import DETECTOR_SHORT, EXPECTED_TARGETS
 from veleta.operators import anomaly as A
 from veleta.operators import decision as D
 from veleta.operators import expected as E
-from veleta.operators.order_stats import quantiles
+from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
 from veleta.operators.split import split_chrono
 from veleta.plans.train import stored, train_job
 
@@ -81,7 +81,8 @@ def _normalised(s, d):
     m = C.feature_model(s, d)
     rows = baseline_apply(C.grid_clean(s, d), m.baselines, small=m.layout.small_baselines)
     raw = rows.select(*KEYS, *[F.abs(F.col(c)).alias(n) for n, c in STAND_INS.items()])
-    row = C.once(s, d, "stand_in_limits", lambda: quantiles(raw, [], list(STAND_INS), [0.05, 0.95], True).first())
+    small = m.layout.rows * len(STAND_INS) <= SMALL_GROUP_ROWS
+    row = C.once(s, d, "stand_in_limits", lambda: quantiles(raw, [], list(STAND_INS), [0.05, 0.95], small).first())
     return raw.select(*KEYS, *[A.ad_normalize(F.col(n), row[f"{n}_q0"], row[f"{n}_q1"]).alias(n) for n in STAND_INS])
 
 

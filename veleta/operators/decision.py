@@ -133,7 +133,9 @@ def fit_decision(
 
 
 def fit_faults(train: DataFrame, min_rows: int = 5, label: str = "ground_truth_label") -> DecisionClassifier:
-    """Forest over labelled faults with enough rows per type; without two types, rules decide."""
+    """Forest over labelled faults with enough rows per type; without two types, or descriptions at all, rules decide."""
+    if "fault_description" not in train.columns:
+        return DecisionClassifier()
     faults = train.filter(F.col(label) == "SENSOR_FAULT").withColumn("_type", map_fault_text(F.col("fault_description")))
     counts = faults.groupBy("_type").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).collect()
     fitted = DecisionClassifier(classes=sorted(r["_type"] for r in counts))
