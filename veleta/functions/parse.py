@@ -22,9 +22,8 @@ def usable_text(text: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Double, or null for markers and unparseable text; -888 counts as a number."""
-    number = F.lower(F.trim(text)).try_cast("double")
-    usable = ~is_missing_text(text) & number.isNotNull() & ~F.isnan(number) & ~number.isin(MISSING_NUMBERS)
-    return F.when(usable, number)
+    number = let(F.lower(F.trim(text)), lambda t: F.when(~t.isin(MISSING_TEXTS), t.try_cast("double")))
+    return let(number, lambda n: F.when(~F.isnan(n) & ~n.isin(MISSING_NUMBERS), n))
 
 
 _CLOCK = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
@@ -47,22 +46,27 @@ def parse_timestamp(text: Column) -> Column:
         F.regexp_replace(trimmed, _NAMED, ""),
     )
     iso = F.when(trimmed.rlike(_NAMED), named).otherwise(F.regexp_replace(trimmed, _DAY_FIRST, "$3-$2-$1"))
-    return F.when(iso.rlike(_ISO), iso).try_cast("timestamp").cast("timestamp_ntz")
+    return let(iso, lambda i: F.when(i.rlike(_ISO), i)).try_cast("timestamp").cast("timestamp_ntz")
 
 
 def parse_epoch(text: Column) -> Column:
-    """Epoch milliseconds (> 1e11) or seconds (> 1e8), to the second."""
-    number = F.trim(text).try_cast("double")
-    seconds = F.when(number > 1e11, number / 1000.0).when(number > 1e8, number)
+    """Epoch milliseconds (> 1e11) or seconds (> 1e8), to the second.
+
+    In a number no digit stands before one of - / : as in dates. Casting these would throw an exception per row.
+    """
+    number = F.when(~text.rlike("[0-9][-/:]"), F.trim(text).try_cast("double"))
+    seconds = let(number, lambda n: F.when(n > 1e11, n / 1000.0).when(n > 1e8, n))
     return F.timestamp_seconds(F.floor(seconds)).cast("timestamp_ntz")
 
 
+def present_name(raw: Column, names: Sequence[str]) -> Column:
+    """The first of the names that is a key of the map: an intersection keeps the order of its first array."""
+    return F.get(F.array_intersect(F.array(*map(F.lit, names)), F.map_keys(raw)), F.lit(0))
+
+
 def first_present(raw: Column, names: Sequence[str]) -> Column:
     """Value of the first name that is a key of the map, whatever the value."""
-    out = F.when(F.map_contains_key(raw, names[0]), raw[names[0]])
-    for name in names[1:]:
-        out = out.when(F.map_contains_key(raw, name), raw[name])
-    return out
+    return raw[present_name(raw, names)]
 
 
 def number_of(raw: Column, names: Sequence[str]) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from veleta.functions.parse import (
     parse_epoch,
     parse_number,
     parse_timestamp,
+    present_name,
     usable_text,
 )
 from veleta.functions.texts import let, staged
@@ -49,27 +54,29 @@ def norm_keys(raw: Column) -> Column:
     entries = F.transform(
         F.map_entries(raw), lambda e: F.struct(F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value"))
     )
-    plain = F.map_from_entries(entries)
-    names = F.transform(entries, lambda e: e["key"])
-    unique = F.size(F.array_distinct(names)) == F.size(names)
-    # The last entry of a name: no later entry has the same name.
-    last = F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"])
-    )
-    return F.when(unique, plain).otherwise(F.map_from_entries(last))
+
+    def keyed(entries: Column) -> Column:
+        names = entries["key"]
+        unique = F.size(F.array_distinct(names)) == F.size(names)
+        # The last entry of a name: no later entry has the same name.
+        last = F.filter(
+            entries, lambda e, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == e["key"])
+        )
+        return F.map_from_entries(F.when(unique, entries).otherwise(last))
+
+    return let(entries, keyed)
 
 
 def norm_station_name(raw: Column, station_id: Column) -> Column:
-    name = first_usable(raw, V.ALIASES["station_name"])
     district, state = raw["district"], raw["state"]
     has_district = ~is_missing_text(district)
     has_state = ~is_missing_text(state)
-    return (
+    return let(first_usable(raw, V.ALIASES["station_name"]), lambda name: (
         F.when(name.isNull(), F.concat(F.lit("IMD AWS "), station_id))
         .when(has_district & has_state, F.concat(name, F.lit(" ("), district, F.lit(", "), state, F.lit(")")))
         .when(has_district, F.concat(name, F.lit(" ("), district, F.lit(")")))
         .otherwise(name)
-    )
+    ))
 
 
 def norm_timestamp(raw: Column, now: Column) -> Column:
@@ -83,19 +90,18 @@ def norm_timestamp(raw: Column, now: Column) -> Column:
     return F.when(joined.isNull() & text.isNull(), now).otherwise(read)
 
 
-def _named(raw: Column, names: list[str], parts: tuple[str, ...]) -> Column:
-    """True when the first name present contains one of ``parts``."""
-    out = F.when(F.map_contains_key(raw, names[0]), F.lit(any(p in names[0] for p in parts)))
-    for n in names[1:]:
-        out = out.when(F.map_contains_key(raw, n), F.lit(any(p in n for p in parts)))
-    return F.coalesce(out, F.lit(False))
+def _named(name: Column, *parts: str) -> Column:
+    """Whether the name of a reading contains one of ``parts``."""
+    return F.coalesce(reduce(or_, [F.contains(name, F.lit(p)) for p in parts]), F.lit(False))
 
 
 def norm_units(raw: Column) -> dict[str, Column]:
     """Sensor values in °C, %, hPa, km/h and mm. Every reading is looked up and parsed once."""
-    value = {s: number_of(raw, V.ALIASES[s]) for s in V.SENSORS}
-    wind, rain = V.ALIASES["wind_speed_kmh"], V.ALIASES["rainfall_mm"]
-    metres, knots, centimetres = _named(raw, wind, ("ms", "mps")), _named(raw, wind, ("knot",)), _named(raw, rain, ("cm",))
+    value = {s: number_of(raw, V.ALIASES[s]) for s in ("temperature_c", "relative_humidity_pct", "pressure_hpa")}
+
+    def named(sensor: str, body: Callable[[Column, Column], Column]) -> Column:
+        return let(present_name(raw, V.ALIASES[sensor]), lambda name: let(parse_number(raw[name]), lambda v: body(v, name)))
+
     return {
         "temperature_c": let(
             value["temperature_c"], lambda t: F.when(t > 130, F.bround((t - 32.0) * 5.0 / 9.0, 2)).otherwise(t)),
@@ -103,10 +109,10 @@ def norm_units(raw: Column) -> dict[str, Column]:
         "pressure_hpa": let(
             value["pressure_hpa"],
             lambda p: F.when(p > 50000, F.bround(p / 100.0, 2)).when((p >= 20) & (p <= 35), F.bround(p * 33.8639, 2)).otherwise(p)),
-        "wind_speed_kmh": let(
-            value["wind_speed_kmh"],
-            lambda w: F.when(metres, F.bround(w * 3.6, 2)).when(knots, F.bround(w * 1.852, 2)).otherwise(w)),
-        "rainfall_mm": let(value["rainfall_mm"], lambda r: F.when(centimetres, F.bround(r * 10.0, 2)).otherwise(r)),
+        "wind_speed_kmh": named(
+            "wind_speed_kmh",
+            lambda w, name: F.when(_named(name, "ms", "mps"), F.bround(w * 3.6, 2)).when(_named(name, "knot"), F.bround(w * 1.852, 2)).otherwise(w)),
+        "rainfall_mm": named("rainfall_mm", lambda r, name: F.when(_named(name, "cm"), F.bround(r * 10.0, 2)).otherwise(r)),
     }
 
 
@@ -136,15 +142,17 @@ def known_station(station_id: Column) -> Column:
     return F.coalesce(*hits)
 
 
+def place_of(lat: Column, lon: Column, station_id: Column, search_text: Column) -> Column:
+    """``lat`` and ``lon`` in one value, so that a row's text is searched once, and only where its coordinates are invalid."""
+    centre = F.struct(F.lit(V.CENTRE[0]).alias("lat"), F.lit(V.CENTRE[1]).alias("lon"))
+    repaired = F.coalesce(known_station(station_id), let(F.upper(search_text), region_lookup), centre)
+    return F.when(invalid_coordinates(lat, lon), repaired).otherwise(F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 def norm_coord_repair(lat: Column, lon: Column, station_id: Column, search_text: Column) -> tuple[Column, Column]:
     """Known station, else region named in the text, else the country's centre."""
-    centre = F.struct(F.lit(V.CENTRE[0]).alias("lat"), F.lit(V.CENTRE[1]).alias("lon"))
-    repaired = F.coalesce(known_station(station_id), region_lookup(F.upper(search_text)), centre)
-    bad = invalid_coordinates(lat, lon)
-    return (
-        F.bround(F.when(bad, repaired["lat"]).otherwise(lat), 4),
-        F.bround(F.when(bad, repaired["lon"]).otherwise(lon), 4),
-    )
+    place = place_of(lat, lon, station_id, search_text)
+    return F.bround(place["lat"], 4), F.bround(place["lon"], 4)
 
 
 def normalize_records(records: DataFrame, now: Column | None = None) -> DataFrame:
@@ -166,19 +174,19 @@ def normalize_records(records: DataFrame, now: Column | None = None) -> DataFram
         }
     ), "stations")
     search = F.concat_ws(" ", "station_name", F.coalesce(m["district"], F.lit("")), F.coalesce(m["state"], F.lit("")))
-    lat, lon = norm_coord_repair(F.col("_lat"), F.col("_lon"), F.col("station_id"), search)
-    return named.withColumns(
+    placed = staged(named.withColumn("_place", place_of(F.col("_lat"), F.col("_lon"), F.col("station_id"), search)), "places")
+    return placed.withColumns(
         {
             "district": m["district"],
             "state": m["state"],
-            "latitude": lat,
-            "longitude": lon,
+            "latitude": F.bround(F.col("_place")["lat"], 4),
+            "longitude": F.bround(F.col("_place")["lon"], 4),
             "timestamp": norm_timestamp(m, now),
             **norm_defaults(norm_units(m)),
             **norm_optional(m),
             "raw_observation": F.to_json("raw"),
         }
-    ).drop("_m", "_lat", "_lon", "raw")
+    ).drop("_m", "_lat", "_lon", "_place", "raw")
 
 
 def norm_optional(m: Column) -> dict[str, Column]:
@@ -191,6 +199,10 @@ def norm_optional(m: Column) -> dict[str, Column]:
 
 def norm_batch(records: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Observations, first of each key kept, and the quarantined rows without a timestamp."""
-    typed = normalize_records(records, now)
+    return split_typed(normalize_records(records, now))
+
+
+def split_typed(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised records as ``norm_batch`` parts them."""
     return dedup_first(typed.filter(F.col("timestamp").isNotNull())), typed.filter(F.col("timestamp").isNull())
 
