@@ -78,14 +78,14 @@ class ObservationStore:
     def new_rows(self, batch: DataFrame) -> DataFrame:
         """Rows of the batch whose key the store lacks, first of each key.
 
-        The batch's own time span limits what is read of the store.
+        The batch's own time span, that of its keys too, limits what is read of the store.
         """
-        rows = dedup_first(conform(batch))
+        rows = conform(batch)
         span = rows.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
         if span["lo"] is None:
-            return rows
+            return dedup_first(rows)
         stored = self.read(start=span["lo"], end=span["hi"]).select(*KEY)
-        return anti_existing(rows, stored)
+        return anti_existing(dedup_first(rows), stored)
 
     def insert_ignore(self, batch: DataFrame) -> int:
         """Append what is new and return its row count.

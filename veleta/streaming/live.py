@@ -20,7 +20,7 @@ from veleta.operators.series import SeriesLayout
 from veleta.operators.serve import anomaly_feed, latest_per_station
 from veleta.operators.temporal import add_temporal_features
 from veleta.sources.export import sink_refresh_year
-from veleta.sources.payload import norm_batch, src_payload
+from veleta.sources.payload import normalize_records, split_typed, src_payload
 from veleta.sources.store import ObservationStore, conform, registry_of, registry_upsert
 
 WATERMARK = "2 hours"
@@ -84,12 +84,11 @@ def st_ingest(payloads: DataFrame, store: ObservationStore, checkpoint: str, pol
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        # A micro-batch is read several times: for its time span, the append and the quarantine.
-        records = src_payload(batch, column).persist()
-        accepted, unreadable = norm_batch(records)
-        store.insert_ignore(accepted)
-        unreadable.write.mode("overwrite").parquet(f"{quarantine_of(store)}/batch={number}")
-        records.unpersist()
+        # Records are read several times, for their time span, the append and the quarantine, and normalised once.
+        typed = normalize_records(src_payload(batch, column)).persist()
+        store.insert_ignore(typed.filter(F.col("timestamp").isNotNull()))  # keeps the first of each key
+        typed.filter(F.col("timestamp").isNull()).write.mode("overwrite").parquet(f"{quarantine_of(store)}/batch={number}")
+        typed.unpersist()
 
     return start(payloads, each, checkpoint, poll)
 
@@ -154,8 +153,8 @@ def live_pipeline(
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        records = src_payload(batch, column).persist()
-        accepted, unreadable = norm_batch(records)
+        typed = normalize_records(src_payload(batch, column)).persist()
+        accepted, unreadable = split_typed(typed)
         accepted = conform(accepted).persist()
         store.insert_ignore(accepted)
         unreadable.write.mode("overwrite").parquet(f"{quarantine_of(store)}/batch={number}")
@@ -169,7 +168,7 @@ def live_pipeline(
         paths.latest.write(current, number)
         anomaly_feed(decide(paths.latest.read(number))).write.mode("overwrite").parquet(f"{paths.feed}/batch={number}")
         accepted.unpersist()
-        records.unpersist()
+        typed.unpersist()
 
     return start(payloads, each, checkpoint, poll)
 
