@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
+from veleta.operators.order_stats import SMALL_GROUP_ROWS, column_ranks
 
 # Name rules that decide which numeric columns are model features.
 DERIVED_PREFIXES = (
@@ -91,13 +91,25 @@ class Scaling:
         return df.withColumn(out, F.array(*[self.scaled(df, c) for c in self.cols]))
 
 
-def _quantile(ordered: np.ndarray, p: float) -> float:
+def _ends(h: float) -> tuple[int, int]:
+    """The two nearest ranks."""
+    return int(np.floor(h)), int(np.ceil(h))
+
+
+def _quantile(ordered: np.ndarray | dict[int, float], p: float, count: int | None = None) -> float:
     """Interpolated between the two nearest ranks."""
-    h = (len(ordered) - 1) * p
-    low, high = int(np.floor(h)), int(np.ceil(h))
+    h = ((len(ordered) if count is None else count) - 1) * p
+    low, high = _ends(h)
     return float(ordered[low]) if low == high else float((high - h) * ordered[low] + (h - low) * ordered[high])
 
 
+def _filled(ordered: dict[int, float], rank: int, missing: int, median: float) -> float:
+    """Value at a rank once the missing values are the median."""
+    if rank in ordered and ordered[rank] < median:
+        return ordered[rank]
+    return max(median, ordered.get(rank - missing, median))
+
+
 def _quartiles(rows: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(np.frombuffer(b"".join(frame["part"]), np.float64))
@@ -120,7 +132,7 @@ def _columns_apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit_scaling(train: DataFrame, cols: Sequence[str], rows: int | None = None) -> Scaling:
     """Quartiles are taken of the median-filled column, as imputation precedes scaling. NaN counts as missing.
 
-    Where a column's values fit a task, each column is ordered in one; otherwise order statistics go by ranged bins.
+    Where a column's values fit a task, each column is ordered in one; otherwise ranks of the known values are searched, all in one go.
     """
     cols = list(cols)
     rows = train.count() if rows is None else rows
@@ -130,10 +142,19 @@ def fit_scaling(train: DataFrame, cols: Sequence[str], rows: int | None = None)
         found = apart.groupBy("feature").applyInPandas(_quartiles(rows), "feature INT, median DOUBLE, low DOUBLE, high DOUBLE").collect()  # a row per feature
         by_col = {cols[r["feature"]]: r for r in found}
         return Scaling(cols, {c: by_col[c]["median"] for c in cols}, {c: by_col[c]["high"] - by_col[c]["low"] or 1.0 for c in cols}, rows)
-    train = train.select(*[v.alias(c) for c, v in known.items()])
-    half = quantiles(train, [], cols, [0.5], False).first()
-    median = {c: float(half[f"{c}_q0"]) for c in cols}
-    filled = train.select(*[F.coalesce(F.col(c), F.lit(median[c])).alias(c) for c in cols])
-    quart = quantiles(filled, [], cols, [0.25, 0.75], False).first()
-    width = {c: (float(quart[f"{c}_q1"]) - float(quart[f"{c}_q0"])) or 1.0 for c in cols}
+    names = {c: f"c{i}" for i, c in enumerate(cols)}
+    held = train.select(*[known[c].alias(n) for c, n in names.items()])
+    counts = filled_counts(held, list(names.values())).first()
+    median, width, ranks = {}, {}, {}
+    for c, n in names.items():
+        some, missing = counts[n], rows - counts[n]
+        # Filling moves the rank of a value above the median by the number of missing ones.
+        places = [_ends((rows - 1) * p) for p in (0.25, 0.75)]
+        ranks[n] = [*_ends((some - 1) * 0.5), *[r for low_high in places for h in low_high for r in (h, h - missing) if 0 <= r < some]]
+    found = column_ranks(held, ranks)
+    for c, n in names.items():
+        some, missing = counts[n], rows - counts[n]
+        median[c] = _quantile(found[n], 0.5, some)
+        filled = {h: _filled(found[n], h, missing, median[c]) for p in (0.25, 0.75) for h in _ends((rows - 1) * p)}
+        width[c] = (_quantile(filled, 0.75, rows) - _quantile(filled, 0.25, rows)) or 1.0
     return Scaling(cols, median, width, rows)
