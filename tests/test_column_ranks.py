@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from veleta.operators import anomaly as A
 from veleta.operators import feature_prep, order_stats
 
 
@@ -39,3 +40,12 @@ def test_scaling_is_the_same_either_way(columns, monkeypatch):
     monkeypatch.setattr(feature_prep, "column_ranks", lambda *a: asked.append(a) or search(*a))
     assert feature_prep.fit_scaling(columns, cols) == small
     assert len(asked) == 1  # medians and quartiles in one go
+
+def test_one_class_svm_takes_no_percentile_of_all_rows(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(800, 3))
+    df = spark.createDataFrame([(f"s{i % 5}", i, v.tolist()) for i, v in enumerate(x)], "station_id string, seq long, features array<double>").repartition(3)
+    monkeypatch.setattr(A, "quantiles", lambda *a: pytest.fail("heights were ordered in one task or shuffled"))
+    model = A.fit_ocsvm(df, 3, float(x.var()), 800)
+    assert model["gap"] <= A.SVM_GAP
+    heights = A.fourier(model, x) @ model["w"]
+    assert (heights < model["rho"] - 1e-9).sum() <= 0.05 * 800 + 1

@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ from veleta.fixed_values import DETECTOR_SHORT, DETECTOR_WEIGHTS
 from veleta.functions.texts import clip, staged
 from veleta.operators import local_outliers
 from veleta.operators.feature_prep import Scaling, anomaly_features, feature_select, fit_scaling
-from veleta.operators.order_stats import SMALL_GROUP_ROWS, quantiles
+from veleta.operators.order_stats import SMALL_GROUP_ROWS, column_ranks, quantiles
 
 log = logging.getLogger(__name__)
 TREES, TREE_ROWS = 100, 256
@@ -150,41 +151,60 @@ def fit_ocsvm(train: DataFrame, width: int, variance: float, rows: int | None =
     n = train.count() if rows is None else rows
     lowest = max(nu * n, 1.0)  # rows that an extreme point is the mean of
     last = int(np.ceil(lowest)) - 1  # rank of the row that may count in part
-    mapped = train.select("features").mapInPandas(
-        lambda it: (pd.DataFrame({"z": list(fourier(model, np.stack(p["features"].to_numpy())))}) for p in it if len(p)),
-        "z ARRAY<DOUBLE>",
-    ).persist()
+
+    def blocks(frames):
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"z": [fourier(model, np.stack(frame["features"].to_numpy())).tobytes()]})
+
+    mapped = train.select("features").mapInPandas(blocks, "z BINARY").persist()  # a row per batch of rows
+
+    def total(parts: DataFrame) -> np.ndarray:
+        """Sum of rows of doubles, in two levels."""
+
+        def added(frame: pd.DataFrame) -> pd.DataFrame:
+            held = frame.sort_values("task")
+            return pd.DataFrame({"task": [-1], "sums": [np.sum([np.frombuffer(b) for b in held["sums"]], axis=0).tobytes()]})
+
+        schema = "task INT, sums BINARY"
+        met = parts.groupBy((F.col("task") % 64).alias("part")).applyInPandas(added, schema)
+        return np.sum([np.frombuffer(r["sums"]) for r in met.collect()], axis=0)  # 64 rows at most
+
+    def summed(inside) -> np.ndarray:
+        """Over all rows, the sum of what ``inside`` makes of a block."""
+
+        def partial(frames):
+            held = [inside(np.frombuffer(z).reshape(-1, FOURIER)) for frame in frames for z in frame["z"]]
+            if held:
+                yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [np.sum(held, axis=0).tobytes()]})
+
+        return total(mapped.mapInPandas(partial, "task INT, sums BINARY"))
 
     def extreme(w: np.ndarray) -> tuple[np.ndarray, float]:
         """Mean of the lowest rows along ``w``, and how high they reach."""
         shared = spark.sparkContext.broadcast(w)
 
-        @F.pandas_udf("double")
-        def height(z: pd.Series) -> pd.Series:
-            return pd.Series(np.stack(z.to_numpy()) @ shared.value if len(z) else [], dtype=float)
+        def heights(batches):
+            for batch in batches:
+                for z in batch.column("z").to_pylist():
+                    yield pa.RecordBatch.from_pydict({"h": np.frombuffer(z).reshape(-1, FOURIER) @ shared.value})
 
-        high = mapped.select(height("z").alias("h"))
-        cut = float(quantiles(high, [], ["h"], [last / max(n - 1, 1)], n <= SMALL_GROUP_ROWS).first()["h_q0"])
+        high = mapped.mapInArrow(heights, "h DOUBLE").persist()
+        cut = column_ranks(high, {"h": [last]})["h"][last]
+        high.unpersist()
         edge = 1e-9 * (1.0 + abs(cut))
 
-        def partial(batches):
-            sums, counts = np.zeros((2, FOURIER)), np.zeros(2, dtype=np.int64)
-            for pdf in batches:
-                z = np.stack(pdf["z"].to_numpy())
-                h = z @ shared.value
-                for i, inside in enumerate((h < cut - edge, np.abs(h - cut) <= edge)):
-                    sums[i], counts[i] = sums[i] + z[inside].sum(axis=0), counts[i] + int(inside.sum())
-            yield pd.DataFrame({"below": [sums[0]], "tied": [sums[1]], "n_below": [counts[0]], "n_tied": [counts[1]]})
-
-        parts = mapped.mapInPandas(partial, "below ARRAY<DOUBLE>, tied ARRAY<DOUBLE>, n_below LONG, n_tied LONG")
-        each = [F.sum(F.col(k)[i]).alias(f"{k}{i}") for k in ("below", "tied") for i in range(FOURIER)]
-        r = parts.agg(*each, F.sum("n_below").alias("n_below"), F.sum("n_tied").alias("n_tied")).first()
-        below, tied = (np.array([r[f"{k}{i}"] for i in range(FOURIER)]) for k in ("below", "tied"))
+        def below_and_tied(z: np.ndarray) -> np.ndarray:
+            h = z @ shared.value
+            masks = h < cut - edge, np.abs(h - cut) <= edge
+            return np.concatenate([*[z[m].sum(axis=0) for m in masks], [m.sum() for m in masks]])
+
+        sums = summed(below_and_tied)
         shared.unpersist()
-        return (below + (lowest - r["n_below"]) / max(r["n_tied"], 1) * tied) / lowest, cut
+        below, tied, (n_below, n_tied) = sums[:FOURIER], sums[FOURIER : 2 * FOURIER], sums[2 * FOURIER :]
+        return (below + (lowest - n_below) / max(n_tied, 1) * tied) / lowest, cut
 
-    start = mapped.agg(*[F.avg(F.col("z")[i]).alias(f"m{i}") for i in range(FOURIER)]).first()
-    w = np.array(list(start))
+    w = summed(lambda z: z.sum(axis=0)) / n
     points, shares, gap, rho, steps = np.empty((0, FOURIER)), np.empty(0), np.inf, 0.0, 0
     for steps in range(1, SVM_STEPS + 1):
         found, rho = extreme(w)
