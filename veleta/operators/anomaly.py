@@ -241,7 +241,7 @@ def fit_mahalanobis(train: DataFrame) -> dict:
 
 def squared_distances(model: dict, x: np.ndarray) -> np.ndarray:
     diff = x - model["mean"]
-    return np.maximum(np.einsum("ij,jk,ik->i", diff, model["inverse"], diff), 0.0)
+    return np.maximum(np.einsum("ij,ij->i", diff @ model["inverse"], diff), 0.0)
 
 
 def score_mahalanobis(model: dict, x: np.ndarray) -> np.ndarray:
