@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veleta.llm.common import stored, table
+from veleta.llm.common import small_batches, stored, table
 from veleta.llm.mixing import mixed_documents
 from veleta.llm.near_dedup import near_copies
 from veleta.llm.packing import pack_documents
@@ -21,6 +21,7 @@ NEAR_PERCENT = 80  # similarity of near copies that the stage thins
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from their labels, does not reject."""
+    small_batches(spark)
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -40,6 +41,7 @@ def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind."""
+    small_batches(spark)
     return mask_pii(docs)
 
 
@@ -50,6 +52,7 @@ def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 1024 tokens."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import pandas as pd
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -12,6 +14,7 @@ from tests.llm.test_mixing_and_pii import base
 from tests.llm.test_repeats import grouped
 from veleta.llm import mixing
 from veleta.llm import quality_model as M
+from veleta.llm.common import BATCH_LIMIT
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +92,24 @@ def test_odd_rows_pass_all_stages(spark):
         for _, stage in pipeline.STAGES[1:]:
             part = stage(spark, part, SF)
         part.count()
+
+
+@pytest.mark.parametrize("stage", [pipeline.classify, pipeline.thin, pipeline.mask, pipeline.pack])
+def test_texts_reach_python_in_small_batches(spark, stage):
+    @F.pandas_udf("long")
+    def batch_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    rows = [(i, f"{i} word " * 4000, "en", "s", 0) for i in range(400)]  # 15 MB of texts
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    largest = lambda: docs.select(batch_bytes("text").alias("n")).agg(F.max("n")).first()[0]
+    before = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(BATCH_LIMIT)
+        stage(spark, docs.limit(3), SF).count()
+        assert largest() < 5_000_000
+        spark.conf.set(BATCH_LIMIT, "1m")  # a limit of the session's own stays
+        stage(spark, docs.limit(3), SF).count()
+        assert largest() < 1_200_000
+    finally:
+        spark.conf.unset(BATCH_LIMIT) if before is None else spark.conf.set(BATCH_LIMIT, before)

@@ -13,6 +13,8 @@ from veleta.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of a few MB, unless the session has a limit of its own.
+
+    Ten thousand rows with their texts, Spark's default, stand several times in an executor's memory: in Arrow's buffers, which
+    double as they grow, outside the heap, and in each Python process as the batch and as strings.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; a null text is an empty one."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

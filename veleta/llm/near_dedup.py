@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veleta.llm.common import stored, text_of
+from veleta.llm.common import small_batches, stored, text_of
 from veleta.llm.components import components
 
 WORDS = 5
@@ -235,6 +235,7 @@ class NearCopies:
 
     def __init__(self, documents: DataFrame, percent: int = PERCENT):
         self.percent = percent
+        small_batches(documents.sparkSession)
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
         self.rows = stored(self.texts.select("doc_id", _signed("text").alias("s")).select("doc_id", "s.*"), "signatures")
         # equal sets are one class, named by its smallest doc_id
